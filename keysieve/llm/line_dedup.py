@@ -83,26 +83,28 @@ class LineRuns:
         return document_lines(docs, self.min_chars).join(self.all(), "line", "left_anti")
 
 
-def line_dedup(spark: SparkSession, batches: list[DataFrame], min_docs: int = 5, min_chars: int = 40, fanout: int = 4) -> DataFrame:
-    """doc_id, text_key, n_lines, n_dropped and the kept text for each row of all batches.
+def line_dedup(spark: SparkSession, batches: list[DataFrame], min_docs: int = 5, min_chars: int = 40, fanout: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """The columns of keep (all but text, by default), the kept text, n_lines and n_dropped for each row of all batches.
 
     Lines whose key has at least min_chars code points and is found in at least min_docs documents go, except in the
     largest doc_id holding it. A null or empty text is one empty line. A row without doc_id isn't a document: it counts
-    for no key and keeps all its lines. Rows of one doc_id count as one document and each give a row; batches must
-    agree in the columns doc_id and text, others are ignored. Empty tables give an empty result.
+    for no key and keeps all its lines. Rows of one doc_id count as one document and each give a row. Batches must
+    agree in their columns; those called n_lines or n_dropped are replaced. Empty tables give an empty result.
     """
     runs = LineRuns(spark, fanout, min_chars)
     for batch in batches:
         runs.add(batch)
     frequent = runs.all().where(F.col("n_docs") >= min_docs).select("line", "last_doc")
-    docs = batches[0].select("doc_id", "text")
+    docs = batches[0]
     for batch in batches[1:]:
-        docs = docs.unionByName(batch.select("doc_id", "text"))
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+        docs = docs.unionByName(batch)
+    keep = [c for c in keep or docs.columns if c not in ("text", "n_lines", "n_dropped")]
     hits = document_lines(docs, min_chars).join(frequent, "line").where("doc_id < last_doc")
     gone = hits.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
     lines = lines_of(F.col("text"))
-    joined = docs.withColumn("text_key", text_key(F.col("text"))).join(gone, ["doc_id", "text_key"], "left")
+    rows = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    joined = rows.join(gone, ["doc_id", "text_key"], "left")
     stays = lambda x: F.coalesce(~F.array_contains(F.col("gone"), hash_of(x, min_chars)), F.lit(True))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.select("doc_id", "text_key", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept")).select("doc_id", "text_key", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    cut_up = joined.select("row", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    return cut_up.select("row.*", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))

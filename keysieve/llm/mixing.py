@@ -91,15 +91,15 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     table gives an empty result. Columns of docs called size, source_size, target or taken are replaced.
     """
     keep = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = sized(docs, seed)
+    rows = sized(docs.select(F.struct(*keep).alias("row"), "doc_id", "source", "text"), seed)
     slim = cut(rows.select("doc_id", "source_key", "size", "es_key"), "sizes")
     goal = cut(targets(slim, weights, most), "targets")
     ends = cut(cutoffs(slim, goal, buckets), "cutoffs")
     if keep == ["doc_id"]:
-        rows = slim
+        rows = slim.withColumn("row", F.struct("doc_id"))
     if ends.count() <= BROADCAST_SOURCES:
         ends = F.broadcast(ends)
-    joined = rows.drop("source_size", "target", "taken").join(ends, "source_key")
+    joined = rows.join(ends, "source_key")
     own, end = F.struct("es_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size"), F.struct("end_key", "end_id", "end_size")
     last = F.when((F.col("rest") <= 0) | F.col("end_key").isNull(), F.lit(0)).when(own < end, F.col("size")).when(own == end, F.col("end_words")).otherwise(F.lit(0))
-    return joined.select(*keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+    return joined.select("row.*", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))

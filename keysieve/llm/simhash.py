@@ -14,13 +14,13 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import cut
+from keysieve.llm.common import cut, text_key
 
 BITS = 64
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for each row: bit b is 1 if more than half of all word shingles' XXH64 (seed 42) have it.
+    """(doc_id, text_key, fp long) for each row: bit b is 1 if more than half of all word shingles' XXH64 (seed 42) have it.
 
     Null and word-less texts get fingerprint zero; texts with fewer words than a shingle have one shingle.
     """
@@ -44,9 +44,9 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                     bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     ones += bits.sum(axis=0, dtype=np.uint32)
                 out[row] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key(F.col("text"))).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
@@ -85,17 +85,35 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return label
 
 
+def rooted(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) of each row, and (fp, first, root): smallest doc_id and component of each fingerprint."""
+    prints = cut(fingerprints(docs, width), "fingerprints")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    label = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return prints, nodes.join(label, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row of docs.
 
     Rows that share a doc_id each get a row. A null doc_id takes part; it counts as larger than any other, so a
-    component of such rows alone has component_id null. An empty table gives an empty result.
+    component of such rows alone has component_id null. Columns other than doc_id and text are ignored; an empty table
+    gives an empty result.
     """
-    prints = cut(fingerprints(docs, width), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    label = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
+    prints, nodes = rooted(docs, width, radius)
+    smallest = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_print = nodes.join(smallest, "root").select("fp", "component_id")
     hex16 = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(by_print, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, whole: that with the smallest doc_id (a null one last), by a hash of the text among several."""
+    prints, nodes = rooted(docs, width, radius)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
+    firsts = prints.groupBy("fp").agg(F.min(own).alias("own")).join(nodes.select("fp", "root"), "fp")
+    kept = firsts.groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("kept_id"), F.col("own.text_key").alias("kept_key"))
+    key, none = F.xxhash64("text"), F.lit(-(1 << 63)).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id_key"), key.alias("text_key"))
+    kept = kept.select(F.coalesce("kept_id", none).alias("id_key"), F.col("kept_key").alias("text_key")).distinct()
+    return rows.join(kept, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]).select("row.*")
