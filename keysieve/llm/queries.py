@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import byte_bpe, context_tree, fertility, line_dedup, mixing, nearest, simhash, substring_dedup, toxicity, url_filter
+from keysieve.llm import byte_bpe, context_tree, fertility, line_dedup, mixing, nearest, oracles, simhash, substring_dedup, toxicity, url_filter
 from keysieve.llm.common import documents
 
 
@@ -59,4 +59,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_substring_dedup, op2_line_dedup, op3_byte_bpe, op4_source_mixing, op5_url_filter, op6_toxicity, op7_simhash, op8_fertility, op9_context_tree, op10_nearest)
 }
 
-ORACLES: dict[str, str] = {}
+#: Where SQL can express the whole query; the others are tested against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING, "op2_line_dedup": oracles.LINES, "op4_source_mixing": oracles.MIXING, "op5_url_filter": oracles.URLS}
