@@ -74,24 +74,21 @@ def token_runs(df: DataFrame, text: str = "text", least: int = 20) -> DataFrame:
 def token_run_hits(runs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """runs that are credentials: the columns of runs, then ord, rule_id, rule_name, provider, severity_rank. The first rule of several wins; equal rows count once.
 
-    Rules are joined on a run's first characters, up to the shortest literal beginning of a rule; those whose keyword
-    isn't at the beginning are joined on the empty string. Checksums and validators are expressions.
+    Rules are joined on a run's first two characters, with which all their matches begin. Checksums and validators are
+    expressions.
     """
-    from keysieve.plans.rules import RULES as ALL
-
     spark = runs.sparkSession
-    chosen = [r for r in rules or ALL if r.is_token_run]
-    pairs = [(r.order, k[:3]) for r in chosen for k in r.keywords if r.rule_id != "openai-api-key"] + [(r.order, "sk-") for r in chosen if r.rule_id == "openai-api-key"]
+    chosen = [r for r in rules or RULES if r.is_token_run]
+    pairs = [(r.order, "sk" if r.rule_id == "openai-api-key" else k[:2]) for r in chosen for k in r.keywords]
     heads = spark.createDataFrame(sorted({*pairs}), "ord double, head string")
     table = rules_table(spark, chosen).select("ord", "rule_id", "rule_name", "provider", "severity_rank", "min_entropy", "shape").join(heads, "ord")
-    near = runs.withColumn("head", F.substring("run", 1, 3)).join(F.broadcast(table), "head").where(F.expr("run rlike concat('^(?:', shape, ')$')"))
+    near = runs.withColumn("head", F.substring("run", 1, 2)).join(F.broadcast(table), "head").where(F.expr("run rlike concat('^(?:', shape, ')$')"))
     run, rule = F.col("run"), F.col("rule_id")
     fine = (F.col("min_entropy") == 0) | (scalars.entropy(run) >= F.col("min_entropy"))
     fine = fine & F.when(rule == "github-token", F.when(F.length(run) == 40, scalars.github_checksum_ok(run)).otherwise(scalars.entropy(run) >= 4.0)).when(rule == "aws-access-key-id", ~run.contains("EXAMPLE")).when(rule == "brave-search-api-key", F.substring("run", 4, 99).rlike("(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")).otherwise(F.lit(True))
     rank = F.when(rule == "stripe-secret-key", F.when(run.contains("_live_"), 4).otherwise(1)).otherwise(F.col("severity_rank"))
     own = F.struct("ord", "rule_id", "rule_name", "provider", rank.cast("int").alias("severity_rank"))
-    # A run has few candidate rules; they are next to each other, so the first is chosen without a shuffle on row keys.
-    keys = [c for c in runs.columns]
+    keys = runs.columns
     return near.where(fine).groupBy(*keys).agg(F.min(own).alias("rule")).select(*keys, "rule.*")
 
 
