@@ -1,0 +1,175 @@
+"""Command line: python -m keysieve.cli scan|check|scrub|hook|repo|doctor|agents|rules|ignore|watch."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import os
+import re
+import sys
+from datetime import UTC, datetime, timedelta
+
+from keysieve.plans.rules import SEVERITIES, select
+
+
+def since(text: str) -> str:
+    """A date, or how long ago: 30m, 12h, 7d, 2w."""
+    if m := re.fullmatch(r"(\d+)([mhdw])", text):
+        unit = {"m": "minutes", "h": "hours", "d": "days", "w": "weeks"}[m[2]]
+        return (datetime.now(UTC) - timedelta(**{unit: int(m[1])})).strftime("%Y-%m-%dT%H:%M:%S")
+    return datetime.fromisoformat(text).strftime("%Y-%m-%dT%H:%M:%S")
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser("keysieve")
+    sub = out.add_subparsers(dest="command")
+    for name in ("scan", "scrub", "doctor", "agents", "watch", "repo"):
+        p = sub.add_parser(name)
+        p.add_argument("--home", default=os.path.expanduser("~"))
+        p.add_argument("--agent", action="append")
+        p.add_argument("--path", action="append")
+        p.add_argument("--rules", action="append")
+        p.add_argument("--skip-rules", action="append")
+        p.add_argument("--env", action="append", help="project folders whose .env values are looked for")
+        p.add_argument("--min-severity", default="low", choices=[*SEVERITIES])
+        p.add_argument("--since", type=since)
+        p.add_argument("--ignore-file")
+        p.add_argument("--format", default="text")
+        p.add_argument("--output", help="folder for redacted copies (scrub) or the state (watch)")
+        p.add_argument("--exit-zero", action="store_true")
+        p.add_argument("--all-files", action="store_true")
+        p.add_argument("folder", nargs="?", default=".")
+    p = sub.add_parser("check")
+    p.add_argument("text", nargs="?")
+    p = sub.add_parser("hook")
+    p.add_argument("event", choices=("prompt", "tool"))
+    sub.add_parser("rules")
+    p = sub.add_parser("ignore")
+    p.add_argument("fingerprint", nargs="+")
+    p.add_argument("--ignore-file", required=True)
+    return out
+
+
+def session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("keysieve").getOrCreate()
+
+
+def main(argv: list[str] | None = None) -> int:
+    """0: clean, 1: secrets found, 2: wrong use."""
+    argv = sys.argv[1:] if argv is None else argv
+    args = parser().parse_args(argv if argv and not argv[0].startswith("-") else ["scan", *argv])
+    try:
+        return COMMANDS[args.command](args)
+    except ValueError as error:
+        print(error, file=sys.stderr)
+        return 2
+
+
+def run_check(args) -> int:
+    from keysieve.functions.plain import fingerprint, mask
+    from keysieve.operators.kernel import detector
+
+    found = detector().find(args.text if args.text is not None else sys.stdin.read())
+    for m in found:
+        print(f"{m.rule.name}  {mask(m.secret)}  [{fingerprint(m.secret)}]")
+    return int(bool(found))
+
+
+def run_hook(args) -> int:
+    from keysieve.operators.guard import decision
+
+    code, message = decision(args.event, sys.stdin.read())
+    if message:
+        print(message, file=sys.stderr)
+    return code
+
+
+def run_rules(args) -> int:
+    for r in select():
+        print(f"{r.rule_id}  {r.severity}  {r.provider}  {r.name}")
+    return 0
+
+
+def run_ignore(args) -> int:
+    from keysieve.sources.files import add_to_ignore, ignore_list
+
+    spark = session()
+    known = ignore_list(spark, args.ignore_file) if os.path.exists(args.ignore_file) else None
+    add_to_ignore(spark, args.ignore_file, spark.createDataFrame([(f,) for f in args.fingerprint], "fingerprint string"), known)
+    return 0
+
+
+def scanned(args):
+    from keysieve.plans.scan import scan
+    from keysieve.sources.files import ignore_list
+
+    spark = session()
+    ignored = ignore_list(spark, args.ignore_file) if args.ignore_file else None
+    rules = select(args.rules, args.skip_rules) if args.rules or args.skip_rules else None
+    return scan(spark, None if args.path and not args.agent else args.home, args.agent, args.path, rules, args.min_severity, ignored, args.since, args.env)
+
+
+def run_scan(args) -> int:
+    from keysieve.operators.reports import RENDER, collected
+
+    if args.format not in RENDER:
+        raise ValueError(f"unknown format {args.format}")
+    rows = collected(scanned(args).findings)
+    print(RENDER[args.format](rows), end="")
+    return int(bool(rows) and not args.exit_zero)
+
+
+def run_scrub(args) -> int:
+    from keysieve.plans.scan import scrub
+
+    out, status = scrub(scanned(args))
+    if args.output:
+        out.write.mode("errorifexists").parquet(args.output)
+    for r in status.where("replacements > 0 or signed > 0").toLocalIterator():
+        print(f"{r['file']}: {r['replacements']} replaced, {r['signed']} in signed blocks")
+    return 0
+
+
+def run_doctor(args) -> int:
+    from keysieve.plans.scan import doctor
+
+    for r in doctor(scanned(args)).collect():
+        print(f"{r['state']}  {r['check']}: {r['text']}")
+    return 0
+
+
+def run_agents(args) -> int:
+    for r in scanned(args).per_agent().collect():
+        print(f"{r['agent']}  {r['files']} files  {r['bytes']} bytes")
+    return 0
+
+
+def run_repo(args) -> int:
+    from keysieve.operators.reports import RENDER, collected
+    from keysieve.plans.scan import scan_repo
+
+    result, transcripts = scan_repo(session(), args.folder, args.all_files, args.min_severity)
+    rows = collected(result.findings)
+    print(RENDER[args.format](rows), end="")
+    for t in transcripts.limit(50).collect():
+        print(f"transcript: {t['relpath']} ({t['agent']})")
+    return int(bool(rows) and not args.exit_zero)
+
+
+def run_watch(args) -> int:
+    from keysieve.streaming.watch import start
+
+    spark = session()
+    baseline = scanned(args).findings.select("fingerprint")
+    texts = spark.readStream.text(args.path[0]).withColumnRenamed("value", "text")
+    show = lambda df: [print(json.dumps(r.asDict())) for r in df.toLocalIterator()]
+    start(spark, texts, show, args.output or f"{args.home}/.keysieve-watch", baseline=baseline).awaitTermination()
+    return 0
+
+
+COMMANDS = {"scan": run_scan, "check": run_check, "scrub": run_scrub, "hook": run_hook, "repo": run_repo, "doctor": run_doctor, "agents": run_agents, "rules": run_rules, "ignore": run_ignore, "watch": run_watch}
+
+if __name__ == "__main__":
+    sys.exit(main())
