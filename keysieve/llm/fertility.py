@@ -29,8 +29,8 @@ class Band:
 
 #: By script; "ascii" is text with hardly any other characters.
 BANDS = {
-    "ascii": Band(1.55, 8.0, 0.02, 0.18, 0.35),
-    "latin": Band(1.25, 8.0, 0.2, 0.18, 0.35),
+    "ascii": Band(1.55, 8.0, 0.02, 0.25, 0.35),
+    "latin": Band(1.25, 8.0, 0.2, 0.25, 0.35),
     "greek": Band(0.7, 6.0, 0.6, 0.25, 0.3),
     "cyrillic": Band(0.7, 6.0, 0.6, 0.25, 0.3),
     "arabic": Band(0.6, 6.0, 0.7, 0.25, 0.3),
