@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: The pre-tokeniser pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker remembers; beyond that it starts anew. Bounds memory, not results.
-CACHE = 300_000
+CACHE = 600_000
 
 
 def unicode_of_bytes() -> dict[str, int]:
@@ -56,8 +56,20 @@ class ByteBPE:
         self.pieces = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.special_ids = {t: struct.pack("<I", i) for t, i in special.items()}
+        self.direct = self._compiled(vocab)
         self.known: dict[str, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+
+    def _compiled(self, vocab: dict[bytes, int]):
+        """tiktoken's byte pair merging of one fragment, where the order of ids is that of the merges; otherwise None, and merge() does it."""
+        made = [new for _, new in self.merges.values()]
+        if made != sorted(made) or len({*made}) != len(made) or {*vocab.values()} != {*made, *self.byte_id} or None in self.byte_id or max(self.byte_id) > min(made, default=1 << 30):
+            return None
+        try:
+            import tiktoken
+
+            return tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})._core_bpe.encode_single_piece
+        except (ImportError, AttributeError):
+            return None
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut wherever a pair of bytes occurs in no token."""
@@ -109,31 +121,20 @@ class ByteBPE:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(self, piece: str) -> bytes:
-        parts = self.parts
-        out = []
-        for fragment in self.fragments(piece.encode("utf-8", "surrogatepass")):
-            got = parts.get(fragment)
-            if got is None:
-                if len(parts) > CACHE:
-                    parts.clear()
-                got = self.merge(fragment)
-                if len(fragment) < 64:
-                    parts[fragment] = got
-            out.append(got)
-        return b"".join(out)
+        """Ids of one pre-token: those of its fragments, one after the other."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        if self.direct is None:
+            return b"".join(map(self.merge, self.fragments(raw)))
+        ids = [i for fragment in self.fragments(raw) for i in self.direct(fragment)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
-        known, out = self.known, []
-        for p in self.pieces(text):
-            got = known.get(p)
-            if got is None:
-                if len(known) > CACHE:
-                    known.clear()
-                got = self.piece(p)
-                if len(p) < 64:
-                    known[p] = got
-            out.append(got)
-        return b"".join(out)
+        known, pieces = self.known, self.pieces(text)
+        if len(known) > CACHE:
+            known.clear()
+        for p in {*pieces}.difference(known):
+            known[p] = self.piece(p)
+        return b"".join(map(known.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -143,7 +144,7 @@ class ByteBPE:
 
     def decode(self, ids: bytes) -> str:
         token = self.token
-        return b"".join([token[i] for (i,) in struct.iter_unpack("<I", ids)]).decode("utf-8", "replace")
+        return b"".join([token[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, ByteBPE] = {}
