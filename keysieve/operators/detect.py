@@ -20,7 +20,7 @@ FOUND = "ord double, rule_id string, severity_rank int, secret string, start int
 
 
 def may_hold_secret(text: Column) -> Column:
-    return text.rlike(LONG) | text.contains("PRIVATE KEY")
+    return text.rlike(LONG) | text.contains("PRIVATE KEY") | text.contains("://")
 
 
 def has_keyword(text: Column, rules: list[Rule] | None = None) -> Column:

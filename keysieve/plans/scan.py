@@ -93,7 +93,7 @@ def scan_repo(spark: SparkSession, folder: str, all_files: bool = False, min_sev
     rows = chosen.collect()
     files = None
     for r in rows:
-        part = sources.read_binary(spark, f"{folder}/{r['relpath']}", r["agent"])
+        part = sources.read_binary(spark, [f"{folder}/{r['relpath']}"], r["agent"])
         files = part if files is None else files.unionByName(part)
     if files is None:
         files = spark.createDataFrame([], "agent string, file string, kind string, is_db boolean, modified timestamp, length long, content binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,24 +12,39 @@ from keysieve.operators.classify import is_database, kind
 
 #: Largest file that is read as a whole, and how much of it shows whether it is text.
 MOST_BYTES, HEAD_BYTES = 256 << 20, 8192
-#: Where agents keep their logs, relative to a home folder, as Spark path globs.
+#: Where programs keep their data under a home folder, by operating system.
+APP_DATA = (".config", "Library/Application Support", "AppData/Roaming")
+EDITORS = ("Code", "Code - Insiders", "Cursor", "Windsurf", "VSCodium", "Kiro")
+#: Folders under a home folder in which agents keep their logs, and patterns below these.
 AGENTS = {
-    "claude": (".claude/projects/*/*.jsonl", ".claude/projects/*/*/tool-results/*.txt", ".claude/projects/*/memory/*.md", ".claude/history.jsonl", ".claude/file-history/*/*", ".claude/plans/*.md", ".claude/paste-cache/*", ".claude/shell-snapshots/*", ".claude/session-env/*", ".claude/todos/*.json"),
-    "codex": (".codex/sessions/*/*/*/*.jsonl", ".codex/archived_sessions/*.jsonl", ".codex/history.jsonl", ".codex/log/*.log", ".codex/*.sqlite"),
-    "gemini": (".gemini/tmp/*/chats/*", ".gemini/tmp/*/logs.json", ".gemini/tmp/*/checkpoints/*.json"),
-    "opencode": (".local/share/opencode/storage/*/*/*.json", ".local/share/opencode/storage/*/*/*/*.json", ".local/share/opencode/*.db"),
-    "cline": (".config/*/User/globalStorage/*/tasks/*/api_conversation_history.json", ".config/*/User/globalStorage/*/tasks/*/ui_messages.json"),
-    "continue": (".continue/sessions/*.json", ".continue/dev_data/*.jsonl"),
-    "copilot": (".copilot/session-state/*/*.jsonl", ".copilot/history-session-state/*.json", ".copilot/logs/*.log", ".copilot/*.db"),
-    "copilot-chat": (".config/*/User/workspaceStorage/*/chatSessions/*", ".config/*/User/globalStorage/emptyWindowChatSessions/*"),
-    "cursor": (".config/Cursor/User/globalStorage/state.vscdb", ".config/Cursor/User/workspaceStorage/*/state.vscdb", ".cursor/projects/*/agent-transcripts/*/*"),
-    "aider": ("*/.aider.chat.history.md", "*/.aider.input.history"),
-    "specstory": ("*/.specstory/history/*.md",),
-    "qwen": (".qwen/tmp/*/chats/*", ".qwen/projects/*/chats/*.jsonl"),
-    "goose": (".config/goose/sessions/*.jsonl", ".local/share/goose/sessions/*"),
-    "crush": ("*/.crush/crush.db",),
-    "config": (".claude.json", ".claude/settings*.json", ".cursor/mcp.json", ".gemini/settings.json", ".codex/config.toml", "*/.mcp.json"),
+    "claude": (
+        (".claude",),
+        ("projects/**/*.jsonl", "projects/**/*.jsonl.superseded-*", "projects/**/tool-results/*", "projects/*/memory/**/*.md", "history.jsonl", "file-history/**/*", "shell-snapshots/*", "session-env/**/*", "todos/*.json", "tasks/**/*.json", "plans/**/*.md", "debug/**/*", "paste-cache/**/*"),
+    ),
+    "codex": ((".codex",), ("sessions/**/*.jsonl", "archived_sessions/**/*.jsonl", "history.jsonl", "log/*.log", "thread_history_*.sqlite", "state_*.sqlite", "memories_*.sqlite")),
+    "gemini": ((".gemini",), ("tmp/*/chats/**/*.json", "tmp/*/chats/**/*.jsonl", "tmp/*/logs.json", "tmp/*/checkpoint*.json", "history/**/*.json")),
+    "opencode": ((".local/share/opencode",), ("storage/message/**/*.json", "storage/part/**/*.json", "storage/session/**/*.json", "opencode.db")),
+    "cline": (APP_DATA, tuple(f"{e}/User/globalStorage/{x}/tasks/*/{f}" for e in EDITORS for x in ("saoudrizwan.claude-dev", "rooveterinaryinc.roo-cline", "kilocode.kilo-code") for f in ("api_conversation_history.json", "ui_messages.json"))),
+    "continue": ((".continue",), ("sessions/*.json",)),
+    "copilot": ((".copilot",), ("session-state/**/*.jsonl", "history-session-state/*.json", "logs/*.log", "command-history-state/**/*", "session-store.db", "jb/*/*.jsonl")),
+    "copilot-chat": (
+        APP_DATA,
+        tuple(f"{e}/User/{w}" for e in ("Code", "Code - Insiders", "VSCodium") for w in ("workspaceStorage/*/chatSessions/*.jsonl", "workspaceStorage/*/chatSessions/*.json", "globalStorage/emptyWindowChatSessions/*.jsonl", "globalStorage/emptyWindowChatSessions/*.json", "workspaceStorage/*/GitHub.copilot-chat/transcripts/*.jsonl")),
+    ),
+    "cursor": ((*APP_DATA, ".cursor"), ("Cursor/User/globalStorage/state.vscdb", "Cursor/User/workspaceStorage/*/state.vscdb", "projects/*/agent-transcripts/**/*.jsonl", "projects/*/agent-transcripts/**/*.txt")),
+    "aider": ((), (".aider.chat.history.md", ".aider.input.history")),
+    "specstory": ((), (".specstory/history/*.md",)),
+    "qwen": ((".qwen",), ("tmp/*/chats/*.json", "tmp/*/logs.json", "tmp/*/checkpoint*.json", "tmp/*/checkpoints/*.json", "projects/*/chats/**/*.jsonl")),
+    "goose": ((".local/share", ".config", "AppData/Roaming"), ("goose/sessions/sessions.db", "goose/sessions/*.jsonl", "Block/goose/data/sessions/sessions.db")),
+    "crush": ((), (".crush/crush.db",)),
+    "config": (
+        ("", *APP_DATA),
+        (".claude.json", ".claude/settings.json", ".claude/settings.local.json", ".mcp.json", ".cursor/mcp.json", ".vscode/mcp.json", ".codeium/windsurf/mcp_config.json", ".gemini/settings.json", ".qwen/settings.json", ".codex/config.toml", ".copilot/mcp-config.json", ".continue/config.yaml", ".continue/config.json", ".continue/mcpServers/*", "opencode.json", ".crush.json")
+        + ("opencode/opencode.json", "opencode/opencode.jsonc", "crush/crush.json", "goose/config.yaml", "Claude/claude_desktop_config.json", "Code/User/mcp.json", "Code - Insiders/User/mcp.json", "Cursor/User/mcp.json", "Windsurf/User/mcp.json", "*/User/globalStorage/*/settings/*mcp_settings.json"),
+    ),
 }
+#: Agents that keep files in the folders they worked in.
+IN_PROJECTS = ("aider", "specstory", "crush", "config")
 #: Agents whose files must not be changed, and databases that a watch leaves out.
 NOT_SCRUBBABLE, NOT_WATCHED = ("config",), ("codex", "copilot")
 
@@ -46,28 +62,99 @@ def agents_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, i, a not in NOT_SCRUBBABLE, a not in NOT_WATCHED) for i, a in enumerate(AGENTS)], "agent string, rank int, scrubbable boolean, watched boolean")
 
 
-def read_binary(spark: SparkSession, path: str, agent: str = "path", since: str | None = None) -> DataFrame:
-    """agent, file, kind, is_db, modified, length, content of the files at a glob; with since (ISO time) only later ones."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+def _hidden(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, modificationTime, length, content of files whose names begin with a dot, which Spark's file sources leave out.
+
+    Read on the driver through Hadoop's file system: settings and histories of a folder, up to 256 MiB each.
+    """
+    from datetime import UTC, datetime
+
+    jvm, rows = spark._jvm, []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(path)
+        stream = fs.open(path)
+        try:
+            content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) if status.getLen() <= MOST_BYTES else None
+        finally:
+            stream.close()
+        rows.append((name, datetime.fromtimestamp(status.getModificationTime() / 1000, UTC), status.getLen(), content))
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long, content binary")
+
+
+def _is_hidden(path: str) -> bool:
+    return path.rsplit("/", 1)[-1][:1] in "._"
+
+
+def read_binary(spark: SparkSession, path: str | list[str], agent: str = "path", since: str | None = None) -> DataFrame:
+    """agent, file, kind, is_db, modified, length, content of the files at a glob, or of a list of files; with since (ISO time) only later ones."""
+    reader, hidden = spark.read.format("binaryFile").option("recursiveFileLookup", "true"), []
+    if isinstance(path, list):
+        hidden = [p for p in path if _is_hidden(p)]
+        path = [re.sub(r"([\[\]{}*?])", r"\\\1", p) for p in path if not _is_hidden(p)]
+    elif _is_hidden(path):
+        hidden, path = [path], []
     if since:
         reader = reader.option("modifiedAfter", since)
+    columns = ("path", "modificationTime", "length", "content")
+    rows = reader.load(path).select(*columns) if path else None
+    if hidden or rows is None:
+        dotted = _hidden(spark, hidden)
+        dotted = dotted.where(F.col("modificationTime") > F.lit(since).cast("timestamp")) if since else dotted
+        rows = dotted if rows is None else rows.unionByName(dotted)
     file = F.regexp_replace("path", "^file:/*(?=/)", "")
-    return reader.load(path).select(F.lit(agent).alias("agent"), file.alias("file"), kind(file).alias("kind"), is_database(file).alias("is_db"), F.col("modificationTime").alias("modified"), "length", "content").dropDuplicates(["file"])
+    return rows.select(F.lit(agent).alias("agent"), file.alias("file"), kind(file).alias("kind"), is_database(file).alias("is_db"), F.col("modificationTime").alias("modified"), "length", "content").dropDuplicates(["file"])
+
+
+def glob_regex(pattern: str) -> str:
+    """A path pattern, with ** for any folders, as a regular expression."""
+    out = re.escape(pattern).replace(r"\*\*/", "(?:.*/)?").replace(r"\*", "[^/]*")
+    return f"^{out}$"
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
-def discover(spark: SparkSession, home: str, agents: list[str] | None = None, since: str | None = None) -> DataFrame:
-    """Files of the agents under a home folder; patterns that match nothing are left out. An unknown agent is an error."""
+
+def _listed(spark: SparkSession, root: str, patterns: tuple[str, ...]) -> list[str]:
+    """Files under a folder that match: single names are looked up, the rest listed below the folder each pattern begins with; links are not followed."""
+    plain = [f"{root}/{p}" for p in patterns if "*" not in p]
+    found = {p for p in plain if _exists(spark, p)}
+    starts = {p.split("*")[0].rpartition("/")[0] for p in patterns if "*" in p}
+    for start in sorted(starts):
+        below = f"{root}/{start}".rstrip("/")
+        if any(start != s and (start + "/").startswith(s + "/") for s in starts if s) or not _exists(spark, below):
+            continue
+        name = F.regexp_replace("path", "^file:/*(?=/)", "")
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(below).select(name.alias("file"))
+        relative = F.substring("file", len(root) + 2, 1 << 20)
+        fits = relative.rlike("|".join(glob_regex(p) for p in patterns if "*" in p))
+        found |= {r["file"] for r in rows.where(fits).toLocalIterator()}
+    return sorted(found)
+
+
+def discover(spark: SparkSession, home: str, agents: list[str] | None = None, since: str | None = None, projects: list[str] | None = None, roots: dict[str, list[str]] | None = None) -> DataFrame:
+    """Files of the agents under a home folder, in the projects they worked in (by default those their sessions name), and in further roots by agent.
+
+    An unknown agent is an error. Names of files are listed on the driver, contents are read by executors; for logs in a
+    store use `read_binary` or `lines` with its path.
+    """
     if unknown := {*(agents or ())} - AGENTS.keys():
         raise ValueError(f"unknown agent: {', '.join(sorted(unknown))}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    out = None
+    home, out = home.rstrip("/"), None
+    if projects is None and {*(agents or AGENTS)} & {*IN_PROJECTS}:
+        own = [p for a in ("claude", "codex") for p in _listed(spark, f"{home}/{AGENTS[a][0][0]}", AGENTS[a][1]) if p.endswith(".jsonl")]
+        sessions = read_binary(spark, own, "claude") if own else None
+        projects = [r["project"] for r in known_projects(sessions).toLocalIterator() if _exists(spark, r["project"])] if sessions is not None else []
     for agent in agents or AGENTS:
-        for pattern in AGENTS[agent]:
-            path = f"{home.rstrip('/')}/{pattern}"
-            target = hadoop(path)
-            if target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target):
-                part = read_binary(spark, path, agent, since)
-                out = part if out is None else out.unionByName(part)
+        folders, patterns = AGENTS[agent]
+        places = [f"{home}/{f}".rstrip("/") for f in folders] + [*(roots or {}).get(agent, ())] + ([p.rstrip("/") for p in projects] if agent in IN_PROJECTS else [])
+        paths = sorted({p for place in dict.fromkeys(places) if _exists(spark, place) for p in _listed(spark, place, patterns)})
+        if paths:
+            part = read_binary(spark, paths, agent, since)
+            out = part if out is None else out.unionByName(part)
     empty = "agent string, file string, kind string, is_db boolean, modified timestamp, length long, content binary"
     return spark.createDataFrame([], empty) if out is None else out
 
@@ -129,6 +216,13 @@ def env_files(spark: SparkSession, project: str) -> DataFrame:
     """(file, line_no, line) of .env files in a project and one level below."""
     from keysieve.operators.environment import is_env_file
 
-    files = spark.read.format("binaryFile").load([f"{project}/{{.env,.env.*,*.env}}"])
-    name = F.regexp_extract("path", "[^/]+$", 0)
-    return files.where(is_env_file(name)).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    names = []
+    for pattern in ("/*", "/*/*"):
+        target = path(f"{project.rstrip('/')}{pattern}")
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        names += [s.getPath().toString() for s in fs.globStatus(target) or () if s.isFile() and ".env" in s.getPath().getName()]
+    skipped = F.regexp_extract("path", "([^/]+)/[^/]+$", 1).isin("node_modules", "venv", "dist", "build")
+    found = spark.createDataFrame([(n,) for n in names], "path string").where(is_env_file(F.regexp_extract("path", "[^/]+$", 0)) & ~skipped)
+    files = read_binary(spark, [r["path"] for r in found.collect()], "env")
+    return files.select("file", F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")

@@ -8,8 +8,8 @@ import sqlite3
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The keys of Cursor's stores that hold conversations, and the ending of fields that hold keys for encryption.
-CURSOR_PREFIXES = ("composerData:", "bubbleId:", "messageRequestContext:", "checkpointId:", "agentKv:")
-CURSOR_ITEMS = ("aiService.prompts", "aiService.generations", "composer.composerData", "workbench.panel.aichat.view.aichat.chatdata")
+CURSOR_PREFIXES = ("bubbleId:", "composerData:", "agentKv:", "messageRequestContext:", "checkpointId:")
+CURSOR_ITEMS = ("aiService.prompts", "aiService.generations", "workbench.panel.aichat.view.aichat.chatdata", "composer.composerData")
 DROPPED = "EncryptionKey"
 
 

@@ -173,6 +173,9 @@ RECORDS = [
     ({"message": {"signature": "SECRET" + "x" * 300}}, "claude", None),
     ({"a-b": {"c": "SECRET"}}, "path", ("a-b.c", "other", "", [])),
     ({"SECRET": 1}, "path", ("", "other", "", [])),
+    ({"primaryApiKey": "SECRET"}, "config", None),
+    ({"primaryApiKey": "SECRET", "mcpServers": {"x": {"env": {"KEY": "SECRET"}}}}, "config", ("mcpServers.x.env.KEY", "config", "", ["mcpServers.x.env.KEY"])),
+    ({"projects": {"/w": {"history": [{"display": "SECRET"}]}}}, "config", ("projects['/w'].history[0].display", "history", "", [])),
 ]
 
 
@@ -266,6 +269,11 @@ def test_agents_to_findings(spark, home):
     with pytest.raises(ValueError):
         files.discover(spark, str(root), ["nobody"])
     assert files.discover(spark, str(root / "none")).count() == 0
+    (root / "work").mkdir()
+    (root / "work/.aider.chat.history.md").write_text(f"#### use {npm}\n")
+    (root / ".claude.json").write_text("{}")
+    more = files.discover(spark, str(root), ["aider", "config"], projects=[str(root / "work")])
+    assert {(r["agent"], r["file"].rsplit("/", 1)[1]) for r in more.collect()} == {("aider", ".aider.chat.history.md"), ("config", ".claude.json")}
 
 
 def test_ignore_list(spark, tmp_path):

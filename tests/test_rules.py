@@ -94,4 +94,4 @@ def test_hostile_texts_take_linear_time(unit, detector):
     text = unit * (200_000 // len(unit))
     start = time.process_time()
     detector.find(text)
-    assert time.process_time() - start < 60
+    assert time.process_time() - start < 20

@@ -40,6 +40,16 @@ def test_scan_and_scrub(spark, home):
     assert {r["check"]: r["state"] for r in scan.doctor(result).collect()}["critical"] == "warn"
 
 
+def test_environment_files(spark, tmp_path):
+    (tmp_path / "app").mkdir()
+    (tmp_path / ".env").write_text("API_KEY=a1b2c3d4e5f6\n")
+    (tmp_path / "app/.env.local").write_text("# x\nDB_PASS='q9w8e7r6t5y4'\n")
+    (tmp_path / "app/.env.example").write_text("API_KEY=z1z2z3z4z5z6\n")
+    (tmp_path / "log.txt").write_text("curl -H a1b2c3d4e5f6 and (q9w8e7r6t5y4)\n")
+    result = scan.scan(spark, paths=[str(tmp_path / "log.txt")], env=[str(tmp_path)])
+    assert sorted((r["rule_id"], r["secret"]) for r in result.findings.collect()) == [("env-value", "a1b2c3d4e5f6"), ("env-value", "q9w8e7r6t5y4")]
+
+
 def test_repository(spark, home, tmp_path):
     root, npm, _ = home
     run = lambda *a: subprocess.run(["git", "-C", str(root), *a], check=True, capture_output=True)
