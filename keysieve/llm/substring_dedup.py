@@ -10,6 +10,9 @@ it. A window of `width` words has an anchor, the smallest hash of the word grams
 windows have equal anchors; windows whose anchor is in one document only are done. The others are cut
 into pieces, maximal runs of windows with one anchor, and a shard is all pieces of an anchor.
 
+Copies of whole documents are decided first, by the hash of their text: all their windows are in the smallest doc_id
+that has it, and only that one goes on.
+
 Shards stay small whatever the data: pieces with equal words meet once for each batch of documents, as
 all but the smallest doc_id among them are decided there; anchors in many documents are divided further,
 one window a piece and one shard a window.
@@ -22,7 +25,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import text_key
+from keysieve.llm.common import cut, text_key
 
 #: Words in the grams whose hashes are anchors.
 GRAM = 4
@@ -128,8 +131,15 @@ def anchors_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long")
 
 
+def copies_of(known: DataFrame) -> DataFrame:
+    """(doc_id, copied): the text_keys of rows whose whole text a smaller doc_id has too."""
+    digests = known.where("text is not null").select("doc_id", "text_key", F.md5("text").alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return digests.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_key").alias("copied"))
+
+
 def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
-    """Pieces of (doc_id, text_key, text, shared anchors, common anchors): route, doc_id, text_key, starts, piece; without piece, spans that are decided already."""
+    """Pieces of (doc_id, text_key, text, shared anchors, common anchors, copy): route, doc_id, text_key, starts, piece; without piece, spans that are decided already."""
     names = ["route", "doc_id", "text_key", "starts", "piece"]
 
     def run(batches):
@@ -139,8 +149,10 @@ def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             seen: dict[tuple[int, bytes], dict[tuple[int, int], list[int]]] = {}
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4))
-            for doc_id, key, text, shared, common in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4), batch.column(5).to_pylist())
+            for doc_id, key, text, shared, common, copy in rows:
+                if copy:
+                    continue
                 words = (text.as_py() or b"").split()
                 anchors = window_anchors(words, width)
                 often = np.isin(anchors, common.values.to_numpy()) if common.is_valid and len(common.values) else np.zeros(len(anchors), bool)
@@ -149,10 +161,10 @@ def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
                 for start, end in zip(change, [*change[1:], len(anchors)]):
                     if ours[start]:
                         piece = b" ".join(words[start : end + width - 1])
-                        seen.setdefault((int(anchors[start]), piece), {}).setdefault((doc_id, key), []).append(int(start))
+                        seen.setdefault((int(anchors[start]) & 0x7FFFFFFF, piece), {}).setdefault((doc_id, key), []).append(int(start))
                 for start in np.flatnonzero(often).tolist():
                     piece = b" ".join(words[start : start + width])
-                    seen.setdefault((xxhash.xxh64_intdigest(piece, 7) - (1 << 63), piece), {}).setdefault((doc_id, key), []).append(start)
+                    seen.setdefault((xxhash.xxh32_intdigest(piece, 7) >> 1, piece), {}).setdefault((doc_id, key), []).append(start)
             out: list[list] = [[] for _ in names]
             decided: dict[tuple[int, int], list[int]] = {}
             for (route, piece), places in seen.items():
@@ -165,12 +177,12 @@ def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
                         for column, value in zip(out, (route, doc_id, key, starts, piece)):
                             column.append(value)
             for (doc_id, key), spans in decided.items():
-                for column, value in zip(out, (xxhash.xxh64_intdigest(f"{doc_id}", 9) - (1 << 63), doc_id, key, spans, None)):
+                for column, value in zip(out, (xxhash.xxh32_intdigest(f"{doc_id}", 9) >> 1, doc_id, key, spans, None)):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array(out[4], pa.binary()).cast(pa.string())], names=names)
 
-    return candidates.mapInArrow(run, "route long, doc_id long, text_key long, starts array<int>, piece string")
+    return candidates.mapInArrow(run, "route int, doc_id long, text_key long, starts array<int>, piece string")
 
 
 def matched(pieces: DataFrame, width: int) -> DataFrame:
@@ -216,15 +228,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 13, texts
     share a doc_id are one document and don't remove each other's words. Other columns are ignored; an empty table gives
     an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc_id, text_key(F.col("text")).alias("text_key"), "text")
     known = rows.where("doc_id is not null")
-    anchors = anchors_of(known, width)
+    copies = cut(copies_of(known), "copies")
+    # Both joins below take this as it is, so that its shuffle by doc_id is made once.
+    marked = known.join(copies, "doc_id", "left").select("doc_id", "text_key", "text", F.coalesce(F.array_contains("copied", F.col("text_key")), F.lit(False)).alias("copy"))
+    anchors = anchors_of(marked.where("not copy"), width)
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > COMMON).alias("common"))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("common"), F.col("anchor"))).alias("shared"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("often"))
-    candidates = known.join(wanted, "doc_id").select("doc_id", "text_key", "text", "shared", "often")
+    candidates = marked.join(wanted, "doc_id").select("doc_id", "text_key", "text", "shared", "often", "copy")
     pieces = pieces_of(candidates, width).repartition("route").sortWithinPartitions("route", "doc_id")
     spans = matched(pieces, width).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias("found"))
-    joined = known.join(spans, "doc_id", "left").unionByName(rows.where("doc_id is null").withColumn("found", F.lit(None).cast("array<struct<text_key:bigint,spans:array<int>>>")))
+    joined = marked.join(spans, "doc_id", "left").unionByName(rows.where("doc_id is null").withColumns({"copy": F.lit(False), "found": F.lit(None).cast("array<struct<text_key:bigint,spans:array<int>>>")}))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if texts else "")
 
     def run(batches):
@@ -232,10 +248,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 13, texts
 
         for batch in batches:
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for key, text, found in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)):
+            for key, text, copy, found in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), batch.column(4)):
                 words = (text.as_py() or b"").split()
-                kept = words
-                if found.is_valid:
+                kept = [] if copy and len(words) >= width else words
+                if found.is_valid and not copy:
                     gone = bytearray(len(words))
                     for x in found.as_py():
                         if x["text_key"] == key:
@@ -252,4 +268,4 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 13, texts
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept_texts, pa.binary()).cast(pa.string())] * texts, names=names + ["text"] * texts)
 
-    return joined.select("doc_id", "text_key", "text", "found").mapInArrow(run, schema)
+    return joined.select("doc_id", "text_key", "text", "copy", "found").mapInArrow(run, schema)
