@@ -13,7 +13,7 @@ into pieces, maximal runs of windows with one anchor, and a shard is all pieces
 Copies of whole documents are decided first, by the hash of their text: all their windows are in the smallest doc_id
 that has it, and only that one goes on.
 
-Shards stay small whatever the data: pieces with equal words meet once for each batch of documents, as
+Shards stay small whatever the data: pieces with equal words meet once for each batch of pieces, as
 all but the smallest doc_id among them are decided there; anchors in many documents are divided further,
 one window a piece and one shard a window.
 """
@@ -31,6 +31,8 @@ from keysieve.llm.common import cut, text_key
 GRAM = 4
 #: Anchors in more documents than this are divided by window.
 COMMON = 500
+#: Different pieces that a worker holds before it sends them on.
+PIECES = 30_000
 
 
 class SuffixAutomaton:
@@ -140,15 +142,33 @@ def copies_of(known: DataFrame) -> DataFrame:
 
 def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
     """Pieces of (doc_id, text_key, text, shared anchors, common anchors, copy): route, doc_id, text_key, starts, piece; without piece, spans that are decided already."""
-    names = ["route", "doc_id", "text_key", "starts", "piece"]
+    names, most = ["route", "doc_id", "text_key", "starts", "piece"], PIECES
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        def rows_of(seen):
+            out: list[list] = [[] for _ in names]
+            decided: dict[tuple[int, int], list[int]] = {}
+            for (route, piece), places in seen.items():
+                first = min(doc_id for doc_id, _ in places)
+                for (doc_id, key), starts in places.items():
+                    if doc_id > first:
+                        n = piece.count(b" ") + 1
+                        decided.setdefault((doc_id, key), []).extend(x for s in starts for x in (s, s + n))
+                    else:
+                        for column, value in zip(out, (route, doc_id, key, starts, piece)):
+                            column.append(value)
+            for (doc_id, key), spans in decided.items():
+                for column, value in zip(out, (xxhash.xxh32_intdigest(f"{doc_id}", 9) >> 1, doc_id, key, spans, None)):
+                    column.append(value)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array(out[4], pa.binary()).cast(pa.string())], names=names)
+
+        seen: dict[tuple[int, bytes], dict[tuple[int, int], list[int]]] = {}
         for batch in batches:
-            seen: dict[tuple[int, bytes], dict[tuple[int, int], list[int]]] = {}
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4), batch.column(5).to_pylist())
             for doc_id, key, text, shared, common, copy in rows:
                 if copy:
@@ -165,22 +185,11 @@ def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
                 for start in np.flatnonzero(often).tolist():
                     piece = b" ".join(words[start : start + width])
                     seen.setdefault((xxhash.xxh32_intdigest(piece, 7) >> 1, piece), {}).setdefault((doc_id, key), []).append(start)
-            out: list[list] = [[] for _ in names]
-            decided: dict[tuple[int, int], list[int]] = {}
-            for (route, piece), places in seen.items():
-                first = min(doc_id for doc_id, _ in places)
-                for (doc_id, key), starts in places.items():
-                    if doc_id > first:
-                        n = piece.count(b" ") + 1
-                        decided.setdefault((doc_id, key), []).extend(x for s in starts for x in (s, s + n))
-                    else:
-                        for column, value in zip(out, (route, doc_id, key, starts, piece)):
-                            column.append(value)
-            for (doc_id, key), spans in decided.items():
-                for column, value in zip(out, (xxhash.xxh32_intdigest(f"{doc_id}", 9) >> 1, doc_id, key, spans, None)):
-                    column.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array(out[4], pa.binary()).cast(pa.string())], names=names)
+                if len(seen) > most:
+                    yield rows_of(seen)
+                    seen = {}
+        if seen:
+            yield rows_of(seen)
 
     return candidates.mapInArrow(run, "route int, doc_id long, text_key long, starts array<int>, piece string")
 
