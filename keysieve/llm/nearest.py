@@ -1,16 +1,20 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one priority queue.
 
 Trees are fitted on a bounded sample and broadcast. Every vector is routed to its leaf in each tree. A
-query visits leaves in order of the smallest margin by which it misses them, over all trees at once,
-until it has visited `leaves` of them; the rows found there are ranked by exact distance.
+query visits leaves in order of the smallest margin by which it misses them, over all trees at once;
+the rows found there are ranked by exact distance.
 
-Rows meet queries by a shuffle on leaves. Of equal vectors only the k + 1 smallest ids can be among
-k nearest, so the others leave before the shuffle; equal queries are searched once.
+How many leaves a query visits follows the table: the exact neighbours of some queries are found among
+all rows, and the budget is what reaches `recall` of them. So recall holds at any size; where vectors
+are not clustered it is the share of rows scanned that holds, and time grows with their product.
+
+Rows meet queries by a shuffle on buckets of leaves, where each query's rows are merged. Of equal
+vectors only the k + 1 smallest ids can be among k nearest, so the others leave before the shuffle;
+equal queries are searched once.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +22,8 @@ from pyspark.sql import functions as F
 
 from keysieve.llm.common import cut
 
-#: Vectors that the trees are fitted on, at most.
-SAMPLE = 16_384
+#: Vectors that the trees are fitted on, at most, and queries whose exact neighbours set the leaf budget.
+SAMPLE, TRIALS = 16_384, 128
 
 
 class Forest:
@@ -61,19 +65,76 @@ class Forest:
             out[:, t] = t * (self.nodes + 1) + node - self.nodes
         return out
 
-    def search(self, vector, leaves: int) -> list[int]:
-        """The first leaves that a shared priority queue reaches, by smallest missed margin."""
+    def missed(self, vector):
+        """The largest margin by which a vector misses each leaf, over the leaf's path."""
+        import numpy as np
+
         margin = self.direction @ vector - self.middle
-        queue, out = [(0.0, t, 0) for t in range(self.trees)], []
-        while queue and len(out) < leaves:
-            missed, t, node = heapq.heappop(queue)
-            while node < self.nodes:
-                m = float(margin[t, node])
-                near, far = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(missed, abs(m)), t, far))
-                node = near
-            out.append(t * (self.nodes + 1) + node - self.nodes)
-        return out
+        out = np.zeros((self.trees, 1), np.float32)
+        for level in range(self.depth):
+            m = margin[:, (1 << level) - 1 : (2 << level) - 1]
+            sides = np.maximum(out, np.maximum(m, 0)), np.maximum(out, np.maximum(-m, 0))
+            out = np.stack(sides, axis=2).reshape(self.trees, -1)
+        return out.ravel()
+
+    def search(self, vector, leaves: int):
+        """The first leaves over all trees, by smallest missed margin."""
+        import numpy as np
+
+        return np.argsort(self.missed(vector), kind="stable")[:leaves]
+
+
+def matrix(column):
+    import numpy as np
+
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), -1)
+
+
+def exact(rows: DataFrame, trials: list, k: int) -> DataFrame:
+    """(asked, vec_id, vector, score): the k nearest rows of each of some queries, other than itself, by distances to all rows."""
+    import numpy as np
+
+    asks, points = np.array([t["vec_id"] for t in trials]), np.array([t["vector"] for t in trials], float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, points.shape[1]), np.float32))] * len(asks)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            wide = x.astype(float)
+            for q, y in enumerate(points):
+                d = np.where(ids == asks[q], np.inf, np.sqrt(((wide - y) ** 2).sum(axis=1)))
+                first = np.lexsort((ids, d))[:k] if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                first = first[d[first] < np.inf]
+                held = [np.concatenate(p) for p in zip(best[q], (d[first], ids[first], x[first]))]
+                order = np.lexsort((held[1], held[0]))[:k]
+                best[q] = tuple(h[order] for h in held)
+        for q, (d, ids, x) in enumerate(best):
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), asks[q])), pa.array(ids), pa.array(list(x), pa.list_(pa.float32())), pa.array(d)], names=["asked", "vec_id", "vector", "score"])
+
+    nearest_first = Window.partitionBy("asked").orderBy("score", "vec_id")
+    found = rows.select("vec_id", "vector").mapInArrow(run, "asked long, vec_id long, vector array<float>, score double")
+    return found.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= k).drop("n")
+
+
+def leaf_budget(forest: Forest, trials: list, found: list, recall: float) -> int:
+    """Least number of leaves in which queries meet that share of their exact neighbours."""
+    import numpy as np
+
+    places, near = [], {}
+    for r in found:
+        near.setdefault(r["asked"], []).append(r["vector"])
+    for t in trials:
+        if t["vec_id"] in near:
+            place = np.empty(forest.trees * (forest.nodes + 1), np.int64)
+            place[forest.search(np.array(t["vector"], np.float32), len(place))] = np.arange(len(place))
+            places.append(place[forest.leaves_of(np.array(near[t["vec_id"]], np.float32))].min(axis=1))
+    ranks = np.sort(np.concatenate(places)) if places else np.zeros(1, np.int64)
+    return int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -84,13 +145,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 12, leaf: int = 64, leaves: int = 96, sample: int = SAMPLE) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 12, leaf: int = 64, leaves: int = 96, sample: int = SAMPLE, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by Euclidean distance, ties to smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but the query's own. Vectors that are
     null, zero, or hold null or non-finite components take no part, nor do those of another length than most; of rows
     that share a vec_id the smallest vector counts. With fewer candidates than k all those found are returned; an empty
-    table gives an empty result. Other columns are ignored. At most `sample` vectors reach the driver.
+    table gives an empty result. Other columns are ignored. A query visits `leaves` leaves, or as many more as `recall` needs.
+    At most `sample` vectors, and the neighbours of `TRIALS` queries, reach the driver.
     """
     import numpy as np
 
@@ -103,13 +165,21 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 1
     few = rows.orderBy(F.xxhash64("vec_id")).limit(sample).select("vector").collect()
     points = np.array([r["vector"] for r in few], np.float32)
     depth = max(0, min(math.ceil(math.log2(max(total / leaf, 1))), int(math.log2(max(len(points) / 8, 1)))))
-    shared = spark.sparkContext.broadcast(Forest(points, depth, trees))
+    same = Window.partitionBy("vector").orderBy("vec_id")
+    kept = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asked = queries.groupBy("vector").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "vector")
+    forest = Forest(points, depth, trees)
+    trials = asked.orderBy(F.xxhash64("vec_id")).limit(TRIALS).collect()
+    if trials:
+        leaves = max(leaves, leaf_budget(forest, trials, exact(kept, trials, k).collect(), recall))
+    shared = spark.sparkContext.broadcast(forest)
     size = total / (1 << depth)
     salts = max(1, math.ceil(size / 4096))
-    buckets = max(1, math.ceil(total * trees / 20_000))
+    buckets = max(1, math.ceil(total * trees / (20_000 * salts)))
 
-    def matrix(column):
-        return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), -1)
+    def bucket_of(leaf):
+        return ((leaf.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
 
     def place(batches):
         import pyarrow as pa
@@ -119,7 +189,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 1
                 continue
             got = shared.value.leaves_of(matrix(batch.column(1)))
             for t in range(got.shape[1]):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got[:, t])], names=["vec_id", "vector", "leaf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got[:, t]), pa.array(bucket_of(got[:, t]))], names=["vec_id", "vector", "leaf", "bucket"])
 
     def ask(batches):
         import pyarrow as pa
@@ -127,9 +197,14 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 1
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [shared.value.search(v, leaves) for v in matrix(batch.column(1))]
-            index = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index)), pa.array(np.concatenate(found).astype(np.int64))], names=["vec_id", "vector", "leaf"])
+            for i, v in enumerate(matrix(batch.column(1))):
+                found = shared.value.search(v, leaves)
+                at = bucket_of(found)
+                order = np.argsort(at, kind="stable")
+                own, starts = np.unique(at[order], return_index=True)
+                parts = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), pa.array(found[order].astype(np.int64)))
+                index = pa.array(np.full(len(own), i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), parts, pa.array(own)], names=["vec_id", "vector", "leaves", "bucket"])
 
     def rank(key, data, asked):
         import pyarrow as pa
@@ -138,12 +213,15 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 1
         if data.num_rows and asked.num_rows:
             column = lambda t, c: t.column(c).combine_chunks()
             x, at = matrix(column(data, "vector")).astype(float), data["leaf"].to_numpy()
-            y, want = matrix(column(asked, "vector")).astype(float), asked["leaf"].to_numpy()
+            y, want = matrix(column(asked, "vector")).astype(float), column(asked, "leaves")
             ids, asks = data["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
             order = np.argsort(at, kind="stable")
-            lo, hi = np.searchsorted(at[order], want, "left"), np.searchsorted(at[order], want, "right")
+            at = at[order]
             for i in range(len(want)):
-                near = order[lo[i] : hi[i]]
+                own = want[i].values.to_numpy()
+                spans = zip(np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right"))
+                near = np.concatenate([order[lo:hi] for lo, hi in spans])
+                near = near[np.unique(ids[near], return_index=True)[1]]
                 if len(near):
                     gap = x[near] - y[i]
                     d = np.sqrt((gap * gap).sum(axis=1))
@@ -154,15 +232,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 1
         arrays = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({"asked": pa.array(arrays[0], pa.int64()), "vec_id": pa.array(arrays[1], pa.int64()), "score": pa.array(arrays[2], pa.float64())})
 
-    schema = "vec_id long, vector array<float>, leaf long"
-    same = Window.partitionBy("vector").orderBy("vec_id")
-    kept = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.groupBy("vector").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "vector")
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)) if salts > 1 else F.lit(0)
-    bucket = F.pmod(F.xxhash64("leaf", "salt"), F.lit(buckets))
-    left = kept.mapInArrow(place, schema).withColumn("salt", salt.cast("int")).withColumn("bucket", bucket)
-    right = asked.mapInArrow(ask, schema).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("bucket", bucket)
+    salt = (F.pmod(F.xxhash64("vec_id"), F.lit(salts)) if salts > 1 else F.lit(0)).cast("int")
+    left = kept.mapInArrow(place, "vec_id long, vector array<float>, leaf long, bucket long").withColumn("salt", salt)
+    right = asked.mapInArrow(ask, "vec_id long, vector array<float>, leaves array<long>, bucket long").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(rank, "asked long, vec_id long, score double")
     nearest_first = Window.partitionBy("asked").orderBy("score", "vec_id")
     found = found.groupBy("asked", "vec_id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= k + 1).drop("n")

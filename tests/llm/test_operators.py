@@ -355,6 +355,20 @@ def test_nearest(spark):
     assert hit >= 0.9 * 10 * len(got)
 
 
+def test_nearest_budget_follows_the_table(spark):
+    """Without clusters a fixed number of leaves finds fewer neighbours the more rows there are."""
+    x = np.random.default_rng(6).standard_normal((12_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, hit = {}, 0
+    for r in nearest.nearest(spark, df, every=200).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len({*np.argsort(d)[:10].tolist()} & found)
+    assert len(got) == 60 and hit >= 0.9 * 10 * len(got)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
