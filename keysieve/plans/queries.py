@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keysieve.functions import scalars
@@ -103,12 +103,22 @@ def match_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, s.i AS nth, length(s.before) AS start_at FROM (SELECT doc_id, unnest(list_transform(range(1, len(string_split(text, ' the '))), lambda i: {'i': i, 'before': array_to_string(list_slice(string_split(text, ' the '), 1, i), ' the ')})) AS s FROM documents WHERE length(text) < 3000)")
 def pattern_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets of a pattern's matches without a Python function."""
+    """Offsets of a pattern's matches without a Python function, in texts that the SQL covers (under 3000 characters)."""
     rows = table(spark, sf_dir, "documents").where(F.length("text") < 3000)
     found = rows.select("doc_id", F.posexplode(detect.spans(F.col("text"), " the ")).alias("i", "s"))
     return found.select("doc_id", (F.col("i") + 1).cast("long").alias("nth"), F.col("s.start").cast("long").alias("start_at"))
 
 
+@query()
+def pattern_spans_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of a pattern's matches in documents of any length: prefix sums over the lengths between matches, in linear time."""
+    gaps = F.transform(F.split("text", " the ", -1), F.length)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), gaps.alias("gaps"))
+    found = rows.select("doc_id", "row", F.posexplode(F.slice("gaps", F.lit(1), F.size("gaps") - 1)).alias("i", "gap"))
+    before = F.sum("gap").over(Window.partitionBy("row").orderBy("i"))
+    return found.select("doc_id", (F.col("i") + 1).cast("long").alias("nth"), (before + len(" the ") * F.col("i")).cast("long").alias("start_at"))
+
+
 @query(
     """SELECT o_orderkey, count(*) AS kept, sum(s) AS starts FROM (
       SELECT o_orderkey, s FROM (SELECT o_orderkey, o_orderkey % 10 AS a, o_orderkey % 7 AS b, o_orderkey % 5 AS c FROM orders) t,

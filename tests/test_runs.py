@@ -83,6 +83,18 @@ def test_command_line(spark, home, capsys):
     assert cli.since("2025-01-02") == "2025-01-02T00:00:00" and len(cli.since("7d")) == 19
 
 
+def test_pattern_spans_whole(spark, tmp_path):
+    """Against brute force; documents of 3000 characters and more have spans too."""
+    import re
+
+    from keysieve.plans.queries import QUERIES
+
+    texts = ["over the hill", "x the the y the z", None, "", " the ", "é😀 the end " * 700, "a the " * 20_000, "y" * 2999 + " the z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["pattern_spans_whole"](spark, str(tmp_path)).collect()))
+    assert got == [(i, n, m.start()) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(" the ", t or ""), 1)]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_queries_equal_sql(spark):
     """Every query with SQL, on the smallest tables."""
