@@ -88,7 +88,10 @@ def _is_hidden(path: str) -> bool:
 
 
 def read_binary(spark: SparkSession, path: str | list[str], agent: str = "path", since: str | None = None) -> DataFrame:
-    """agent, file, kind, is_db, modified, length, content of the files at a glob, or of a list of files; with since (ISO time) only later ones."""
+    """agent, file, kind, is_db, modified, length, content of the files at a glob, or of a list of files; with since (ISO time) only later ones.
+
+    The content of files over 256 MiB isn't read here: it is null.
+    """
     reader, hidden = spark.read.format("binaryFile").option("recursiveFileLookup", "true"), []
     if isinstance(path, list):
         hidden = [p for p in path if _is_hidden(p)]
@@ -98,7 +101,11 @@ def read_binary(spark: SparkSession, path: str | list[str], agent: str = "path",
     if since:
         reader = reader.option("modifiedAfter", since)
     columns = ("path", "modificationTime", "length", "content")
-    rows = reader.load(path).select(*columns) if path else None
+    rows = None
+    if path:
+        listed = reader.load(path)
+        most = listed.where(F.col("length") > MOST_BYTES).select(*columns[:-1], F.lit(None).cast("binary").alias("content"))
+        rows = listed.where(F.col("length") <= MOST_BYTES).select(*columns).unionByName(most)
     if hidden or rows is None:
         dotted = _hidden(spark, hidden)
         dotted = dotted.where(F.col("modificationTime") > F.lit(since).cast("timestamp")) if since else dotted
@@ -167,12 +174,24 @@ def is_text(content: Column) -> Column:
 def documents(files: DataFrame) -> DataFrame:
     """agent, file, kind, unit_no, text: a row for each line of JSONL files (from 1), for each other file one row (0).
 
-    Databases, binary files and those over 256 MiB are left out (JSONL of any size can be read by `lines`).
+    JSONL files over 256 MiB are read by path in splits. Databases, binary files and other files over 256 MiB are left out.
     """
     texts = files.where(~F.col("is_db") & (F.col("length") <= MOST_BYTES) & is_text(F.col("content"))).withColumn("text", F.decode("content", "utf-8"))
     by_line = texts.where("kind = 'jsonl'").select("agent", "file", "kind", F.posexplode(F.split("text", "\n")).alias("n", "text")).select("agent", "file", "kind", (F.col("n") + 1).alias("unit_no"), "text")
     whole = texts.where("kind <> 'jsonl'").select("agent", "file", "kind", F.lit(0).alias("unit_no"), "text")
-    return by_line.unionByName(whole).where("text <> ''")
+    return large_lines(files, by_line.unionByName(whole)).where("text <> ''")
+
+
+def _in_splits() -> Column:
+    """Files that are read by `lines`: large JSONL, but for names that Spark's file sources leave out."""
+    return (F.col("kind") == "jsonl") & ~F.col("is_db") & (F.col("length") > MOST_BYTES) & ~F.col("file").rlike("(^|/)[._][^/]*$")
+
+
+def large_lines(files: DataFrame, others: DataFrame) -> DataFrame:
+    """others, and the lines of the JSONL files over 256 MiB, whose names come to the driver."""
+    for r in files.where(_in_splits()).select("agent", "file").collect():
+        others = others.unionByName(lines(files.sparkSession, r["file"], r["agent"]))
+    return others
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
@@ -180,14 +199,26 @@ def first_lines(docs: DataFrame) -> DataFrame:
     return docs.where("unit_no <= 1").groupBy("file").agg(F.min_by("text", "unit_no").alias("first_line"))
 
 
-def lines(spark: SparkSession, path: str, agent: str = "path") -> DataFrame:
-    """agent, file, text of every line of large line files: splits are cut at line breaks, so a file is read in parallel."""
-    return spark.read.text(path).select(F.lit(agent).alias("agent"), F.input_file_name().alias("file"), F.lit("jsonl").alias("kind"), F.col("value").alias("text"))
+def lines(spark: SparkSession, file: str, agent: str = "path") -> DataFrame:
+    """agent, file, kind, unit_no, text of every line of a large line file: splits are cut at line breaks, so it is read in parallel.
+
+    Lines are counted in each split first; a line's number is its place in its split and the lines of the splits before.
+    """
+    path = re.sub(r"([\[\]{}*?])", r"\\\1", f"file://{file}" if file.startswith("/") else file)
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("text"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    counts = rows.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n")).orderBy("block").collect()
+    starts, before = [], 0
+    for r in counts:
+        starts.append((r["block"], r["first"] - before))
+        before += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "block long, offset long"))
+    number = (F.col("id") - F.col("offset") + 1).cast("int")
+    return rows.join(offsets, "block").select(F.lit(agent).alias("agent"), F.lit(file).alias("file"), F.lit("jsonl").alias("kind"), number.alias("unit_no"), "text")
 
 
 def errors(files: DataFrame) -> DataFrame:
     """Files that are left out because of their size."""
-    return files.where((F.col("length") > MOST_BYTES) & (F.col("kind") != "jsonl")).select("file", F.lit("larger than 256 MiB").alias("message"))
+    return files.where((F.col("length") > MOST_BYTES) & ~_in_splits()).select("file", F.lit("larger than 256 MiB").alias("message"))
 
 
 def ignore_list(spark: SparkSession, path: str) -> DataFrame:
@@ -209,7 +240,11 @@ def known_projects(files: DataFrame) -> DataFrame:
     """Working folders that session files name in their first 16 KiB."""
     head = F.decode(F.substring("content", 1, 16384), "utf-8")
     found = F.regexp_extract_all(head, F.lit(r'"cwd"\s*:\s*"((?:[^"\\]|\\.)+)"'), F.lit(1))
-    return files.where(F.col("agent").isin("claude", "codex")).select(F.explode(found).alias("project")).distinct()
+    sessions = files.where(F.col("agent").isin("claude", "codex"))
+    whole = sessions.select("agent", "file", "content")
+    starts = large_lines(sessions, files.sparkSession.createDataFrame([], "agent string, file string, kind string, unit_no int, text string"))
+    heads = starts.where("unit_no <= 20").groupBy("agent", "file").agg(F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "text"))), lambda x: x["text"]), "\n"), "utf-8").alias("content"))
+    return whole.unionByName(heads).select(F.explode(found).alias("project")).distinct()
 
 
 def env_files(spark: SparkSession, project: str) -> DataFrame:

@@ -83,6 +83,32 @@ def test_command_line(spark, home, capsys):
     assert cli.since("2025-01-02") == "2025-01-02T00:00:00" and len(cli.since("7d")) == 19
 
 
+def test_large_line_files(spark, tmp_path, monkeypatch):
+    """Line files over the limit are read in splits, with the same line numbers; other large files are reported."""
+    from keysieve.sources import files
+
+    npm = Maker(4).of(next(r for r in RULES if r.rule_id == "npm-token"))
+    records = [json.dumps({"type": "user", "message": {"content": f"é use {npm}" if i in (0, 777, 2999) else f"line {i}\r" + "x" * (i % 90)}}) for i in range(3000)]
+    (tmp_path / "big [1].jsonl").write_text("\n".join(records[:1500]) + "\n\n" + "\n".join(records[1500:]) + "\n")
+    (tmp_path / "big.txt").write_text("x" * 60_000)
+    want = [1, 778, 3001]
+    find = lambda: scan.scan(spark, paths=[str(tmp_path)])
+    at = lambda result: sorted(a["line"] for r in result.findings.collect() for a in r["locations"])
+    rows = lambda result: sorted((r["unit_no"], r["text"]) for r in result.documents.where("kind = 'jsonl'").collect())
+    small = find()
+    assert at(small) == want
+    same = rows(small)
+    monkeypatch.setattr(files, "MOST_BYTES", 50_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        large = find()
+        assert large.documents.rdd.getNumPartitions() > 4
+        assert at(large) == want and rows(large) == same
+        assert [r["file"].rsplit("/", 1)[1] for r in large.errors.collect()] == ["big.txt"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_pattern_spans_whole(spark, tmp_path):
     """Against brute force; documents of 3000 characters and more have spans too."""
     import re
