@@ -302,6 +302,19 @@ def test_fertility_bands(spark):
     assert got == [True, True, False]
 
 
+def test_fertility_rejects_symbols(spark):
+    """Words of emoji, of box-drawing characters and text with a mark in every fifth token go; scripts that are divided into fragments stay."""
+    rng = random.Random(1)
+    words = lambda a, b: " ".join("".join(chr(rng.randrange(a, b)) for _ in range(6)) for _ in range(60))
+    georgian = "დღეს კარგი ამინდია და ჩვენ მივდივართ ბაზარში რომ ვიყიდოთ ხილი და ბოსტნეული შემდეგ სახლში დავბრუნდებით და ვახშამს მოვამზადებთ ოჯახისთვის ჩვენ გვიყვარს ეს ქალაქი"
+    tamil = "இன்று வானிலை நன்றாக உள்ளது நாங்கள் சந்தைக்கு சென்று பழங்கள் மற்றும் காய்கறிகள் வாங்கினோம் பிறகு வீட்டிற்கு திரும்பி வந்து இரவு உணவு சமைத்தோம் குடும்பத்துடன் சாப்பிட்டோம் நல்ல நாள்"
+    marked = "the budget | of this town # was made in | the spring # by a new | council that had % not yet met | in that year and # so it was late | when it came out"
+    texts = [words(0x1F300, 0x1F64F), words(0x2500, 0x2580), marked, georgian, tamil]
+    got = fertility.rate(spark, spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in got) and 0.18 < got[2]["mark_share"] < 0.25
+    assert [r["kept"] for r in got] == [False, False, False, True, True]
+
+
 def test_context_tree_is_a_distribution():
     text = b"abracadabra abracadabra cadabra \n"
     grams, _ = context_tree.stream_grams([text * 20], 3)
