@@ -15,26 +15,46 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, as in tests, a local folder."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode, as in tests, an unset one becomes a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="keysieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends here and lost executors cost nothing before it."""
+def _path_of(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def cut(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder (in folders by a column, if given) and reads it again.
+
+    Lineage ends here and lost executors cost nothing before it. The table goes with `discard`, else when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keysieve-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    fs, target = _path_of(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._cut_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that cut() or a run store wrote, through Hadoop's file system."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Deletes a folder through Hadoop's file system."""
+    fs, target = _path_of(spark, path)
+    fs.delete(target, True)
 
 
 def word_count(text: Column) -> Column:

@@ -6,12 +6,13 @@ earlier bytes, across tokens. Every node of that tree has a Krichevsky-Trofimov
 node's prediction mixes its own estimate with its child's by the weights that context-tree weighting
 gives after training.
 
-The tree keeps a context if it precedes at least 2**-18 of all training bytes; what is rarer counts in
-shorter contexts only. That share bounds the tree that is broadcast, at any corpus size and by the
-same rule.
-
-The plain token counts for base_score are not bounded. The most frequent tokens (a fixed number) are
-broadcast; all others are joined by a shuffle.
+The tree holds every context of the training texts, so it grows with them, and it is never in one place:
+each depth is a table of nodes. Weights go up from the deepest level by one aggregation a level
+(a node has 256 children at most), mixed predictions come down by one join a level. What a text needs
+of the tree is one number for each gram (a byte and the `depth` bytes before it), so the tree gives
+a table of the distinct grams of all texts with their log probabilities. The most frequent of
+these grams, `near` at most, are broadcast, and so are the most frequent tokens; for what is rarer
+a text sends (key, times), combined, to one shuffle join with both tables.
 """
 
 from __future__ import annotations
@@ -20,105 +21,140 @@ import math
 from collections import Counter, defaultdict
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import cut
+from keysieve.llm.common import cut, discard
 
 END = b"\n"
 
 
-class ContextTree:
-    """Nodes by depth: sorted keys, the probability of a 1 bit and the weight of the node's own estimate."""
+def lgamma(x: Column) -> Column:
+    """ln Gamma(x) for x > 0: Stirling's series eight places further, and back; right to 1e-9."""
+    y, product = x + 8, x
+    for i in range(1, 8):
+        product = product * (x + i)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
-    def __init__(self, at, gram, n, depth: int):
-        """Arrays of equal length: depth d, the d context bytes and the byte itself as an integer, count."""
-        import numpy as np
 
-        self.depth, self.keys, self.one, self.own = depth, [], [], []
-        raw = []
-        for d in range(depth + 1):
-            context, byte, many = gram[at == d] >> 8, gram[at == d] & 255, n[at == d].astype(float)
-            keys, zeros, ones = [], [], []
-            for j in range(8):
-                keys.append((context << 8) | (1 << j) | (byte >> (8 - j)))
-                bit = (byte >> (7 - j)) & 1
-                zeros.append(np.where(bit == 0, many, 0.0))
-                ones.append(np.where(bit == 1, many, 0.0))
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            raw.append((key, np.bincount(place, np.concatenate(zeros), len(key)), np.bincount(place, np.concatenate(ones), len(key))))
-        lgamma = np.frompyfunc(math.lgamma, 1, 1)
-
-        def kt(zeros, ones):
-            return (lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1)).astype(float) - 2 * math.lgamma(0.5)
-
-        below = None
-        for d in range(depth, -1, -1):
-            key, zeros, ones = raw[d]
-            own = kt(zeros, ones)
-            weight, mixed = np.ones(len(key)), own.copy()
-            if below is not None and len(key) and len(below[0]):
-                child, child_zeros, child_ones, child_mixed = below
-                parent = ((child >> 8) & ((1 << (8 * d)) - 1)) << 8 | (child & 255)
-                place = np.minimum(np.searchsorted(key, parent), len(key) - 1)
-                fits = key[place] == parent
-                add = lambda x: np.bincount(place[fits], x[fits], len(key))
-                has = add(np.ones(len(child))) > 0
-                deeper = add(child_mixed) + kt(np.maximum(zeros - add(child_zeros), 0), np.maximum(ones - add(child_ones), 0))
-                weight = np.where(has, 1 / (1 + np.exp(np.clip(deeper - own, -700, 700))), 1.0)
-                mixed = np.where(has, np.logaddexp(own, deeper) - math.log(2), own)
-            below = (key, zeros, ones, mixed)
-            self.keys.insert(0, key)
-            self.one.insert(0, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32))
-            self.own.insert(0, weight.astype(np.float32))
-
-    def log10(self, grams):
-        """log10 probability of each gram's last byte after the others; grams: integers of depth + 1 bytes."""
-        import numpy as np
+def kt(zeros: Column, ones: Column) -> Column:
+    """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1) - 2 * math.lgamma(0.5)
+
+
+def mask(depth: int) -> Column:
+    return F.lit((1 << (8 * depth)) - 1)
+
+
+def decisions(gram: Column) -> Column:
+    """The eight decisions of a gram's last byte: heap (a 1, then the bits known) and bit."""
+    byte = gram.bitwiseAND(F.lit(255))
+    one = lambda j: F.struct(F.shiftright(byte, 8 - j).bitwiseOR(F.lit(1 << j)).alias("heap"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit"))
+    return F.array(*map(one, range(8)))
+
+
+def node_key(gram: Column, heap: Column, depth: int) -> Column:
+    """A node of a depth: its context bytes, then heap."""
+    return F.shiftleft(F.shiftright(gram, 8).bitwiseAND(mask(depth)), 8).bitwiseOR(heap)
 
-        context, byte = grams >> 8, grams & 255
-        total = np.zeros(len(grams))
-        for j in range(8):
-            heap, bit = (1 << j) | (byte >> (8 - j)), ((byte >> (7 - j)) & 1) == 1
-            one, left = np.zeros(len(grams)), np.ones(len(grams))
-            last = np.full(len(grams), 0.5)
-            alive = np.ones(len(grams), bool)
-            for d in range(self.depth + 1):
-                key = self.keys[d]
-                if not len(key):
-                    break
-                want = ((context & ((1 << (8 * d)) - 1)) << 8) | heap
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                alive &= key[at] == want
-                own = np.where(alive, self.own[d][at], 0.0)
-                one += left * own * self.one[d][at]
-                left = left * (1 - own)
-                last = np.where(alive, self.one[d][at], last)
-            one += left * last
-            total += np.log10(np.where(bit, one, 1 - one))
-        return total
-
-
-class Remembered:
-    """log10 probabilities of grams already seen by this worker: an open-addressing table of fixed size, emptied when half full."""
-
-    def __init__(self, tree: ContextTree, bits: int = 22):
+
+def tree(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """For each depth (key, zero, one): log10 probabilities of a 0 and a 1 bit where a node of that depth is the deepest that exists.
+
+    grams: (gram, n), n > 0. Both probabilities are summed on their own, so neither is ever rounded to zero.
+    """
+    rows = grams.select("gram", "n", F.explode(decisions(F.col("gram"))).alias("at")).select(node_key(F.col("gram"), F.col("at.heap"), depth).alias("key"), F.col("at.bit").alias("bit"), "n")
+    level = rows.groupBy("key").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"))
+    own, deeper = F.col("own"), F.col("deeper")
+    level = cut(level.withColumn("mixed", kt(F.col("zeros"), F.col("ones"))).withColumn("weight", F.lit(1.0)), "nodes")
+    up = lambda d: F.shiftleft(F.shiftright(F.col("key"), 8).bitwiseAND(mask(d)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+    found = [level]
+    for d in range(depth - 1, -1, -1):
+        level = found[0].groupBy(up(d).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("mixed").alias("deeper")).withColumn("own", kt(F.col("zeros"), F.col("ones")))
+        most = F.greatest(own, deeper)
+        mixed = most + F.log(F.exp(own - most) + F.exp(deeper - most)) - math.log(2)
+        found.insert(0, cut(level.select("key", "zeros", "ones", mixed.alias("mixed"), (1 / (1 + F.exp(F.least(deeper - own, F.lit(700.0))))).alias("weight")), "nodes"))
+    total, w, out = F.col("zeros") + F.col("ones") + 1, F.col("weight"), []
+    for d, nodes in enumerate(found):
+        nodes = nodes.select("key", "weight", ((F.col("zeros") + 0.5) / total).alias("p0"), ((F.col("ones") + 0.5) / total).alias("p1"))
+        if d:
+            above = out[-1].select(F.col("key").alias("up"), F.col("acc0").alias("up0"), F.col("acc1").alias("up1"), F.col("left").alias("over"))
+            nodes = nodes.withColumn("up", up(d - 1)).join(above, "up")
+        else:
+            nodes = nodes.withColumns({"up0": F.lit(0.0), "up1": F.lit(0.0), "over": F.lit(1.0)})
+        nodes = nodes.select("key", (F.col("up0") + F.col("over") * w * F.col("p0")).alias("acc0"), (F.col("up1") + F.col("over") * w * F.col("p1")).alias("acc1"), (F.col("over") * (1 - w)).alias("left"), "p0", "p1")
+        last = lambda acc, p: F.log10(F.col(acc) + F.col("left") * F.col(p))
+        out.append(cut(nodes.select("key", "acc0", "acc1", "left", last("acc0", "p0").alias("zero"), last("acc1", "p1").alias("one")), "tree"))
+    discard(*found)
+    return out
+
+
+def gram_scores(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(gram, seen, score): log10 probability of each gram's last byte after the others.
+
+    A gram of the training texts (n > 0) has all its nodes at the deepest level; another one takes, for each of
+    its decisions, the deepest node there is. Without any node a decision has probability one half.
+    """
+    depth = len(levels) - 1
+    rows = grams.select("gram", "n", "seen", F.explode(decisions(F.col("gram"))).alias("at")).select("gram", "n", "seen", F.col("at.heap").alias("heap"), F.col("at.bit").alias("bit"))
+    of = F.when(F.col("bit") == 1, F.col("one")).otherwise(F.col("zero"))
+    deepest = levels[depth].select("key", "zero", "one")
+    trained = rows.where("n > 0").withColumn("key", node_key(F.col("gram"), F.col("heap"), depth)).join(deepest, "key").select("gram", "seen", of.alias("score"))
+    other = rows.where("n = 0").withColumn("score", F.lit(None).cast("double"))
+    for d in range(depth, -1, -1):
+        nodes = levels[d].select("key", "zero", "one")
+        # At most 255 nodes a context, and 256 contexts at depth 1.
+        nodes = F.broadcast(nodes) if d < 2 else nodes
+        other = other.withColumn("key", node_key(F.col("gram"), F.col("heap"), d)).join(nodes, "key", "left").withColumn("score", F.coalesce("score", of)).drop("key", "zero", "one")
+    other = other.select("gram", "seen", F.coalesce("score", F.lit(math.log10(0.5))).alias("score"))
+    return trained.unionByName(other).groupBy("gram").agg(F.max("seen").alias("seen"), F.sum("score").alias("score"))
+
+
+def most_seen(scores: DataFrame, near: int):
+    """Grams and scores as arrays, those seen 2^i times or more for the least i that leaves `near` grams at most; and 2^i."""
+    power = F.floor(F.log2(F.col("seen"))).cast("int")
+    held, least = 0, 62
+    for r in scores.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect():
+        held += r["count"]
+        if held > near:
+            break
+        least = r["power"]
+    got = scores.where(F.col("seen") >= F.lit(1 << least)).select("gram", "score").orderBy("gram").toArrow()
+    return got["gram"].to_numpy(), got["score"].to_numpy(), 1 << least
+
+
+class Known:
+    """log10 probabilities of some grams: an open-addressing table."""
+
+    def __init__(self, grams, scores):
         import numpy as np
 
-        self.tree, self.shift, self.mask = tree, 64 - bits, (1 << bits) - 1
-        self.keys, self.values, self.used = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32), 0
+        bits = max(4, int(2 * len(grams)).bit_length())
+        self.shift, self.mask = 64 - bits, (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        slots = self._slots(grams)
+        while len(grams):
+            free = self.keys[slots] == -1
+            self.keys[slots[free]] = grams[free]
+            mine = self.keys[slots] == grams
+            self.values[slots[mine]] = scores[mine]
+            grams, scores, slots = grams[~mine], scores[~mine], (slots[~mine] + 1) & self.mask
 
     def _slots(self, grams):
         import numpy as np
 
-        return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+        return ((np.ascontiguousarray(grams).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
 
-    def _find(self, grams):
-        """Values, and which grams aren't there."""
+    def find(self, grams):
+        """Scores (zero where a gram isn't here), and which grams aren't."""
         import numpy as np
 
-        out, open_, slots = np.zeros(len(grams), np.float32), np.arange(len(grams)), self._slots(grams)
-        missing = np.zeros(len(grams), bool)
+        slots = self._slots(grams)
+        key = self.keys[slots]
+        out, missing = np.where(key == grams, self.values[slots], 0.0), key == -1
+        open_ = np.flatnonzero((key != grams) & ~missing)
+        slots = (slots[open_] + 1) & self.mask
         while len(open_):
             key = self.keys[slots]
             hit, empty = key == grams[open_], key == -1
@@ -128,32 +164,6 @@ class Remembered:
             open_, slots = open_[left], (slots[left] + 1) & self.mask
         return out, missing
 
-    def _add(self, grams, values):
-        import numpy as np
-
-        if 2 * (self.used + len(grams)) > len(self.keys):
-            self.keys[:], self.used = -1, 0
-        self.used += len(grams)
-        slots = self._slots(grams)
-        while len(grams):
-            free = self.keys[slots] == -1
-            self.keys[slots[free]] = grams[free]
-            mine = self.keys[slots] == grams
-            self.values[slots[mine]] = values[mine]
-            grams, values, slots = grams[~mine], values[~mine], (slots[~mine] + 1) & self.mask
-
-    def log10(self, grams):
-        import numpy as np
-
-        out, missing = self._find(grams)
-        if missing.any():
-            fresh, place = np.unique(grams[missing], return_inverse=True)
-            values = self.tree.log10(fresh).astype(np.float32)
-            out[missing] = values[place]
-            for i in range(0, len(fresh), 1 << 19):
-                self._add(fresh[i : i + (1 << 19)], values[i : i + (1 << 19)])
-        return out
-
 
 def stream_grams(texts: list[bytes], depth: int):
     """The gram that ends at each byte of each text, all texts one after the other, and the texts' lengths."""
@@ -201,40 +211,39 @@ def token_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def gram_counts(docs: DataFrame, depth: int, share: int):
-    """Arrays (d, gram, count) for every depth up to `depth`, of contexts before 1 / share of all bytes at least: at most share contexts a depth reach the driver."""
-    import numpy as np
+def gram_counts(rows: DataFrame, depth: int, flush: int = 1_000_000) -> DataFrame:
+    """(gram, n, seen): how often each gram occurs in rows (text, held_out) that are not held out, and in all. Combined before the shuffle."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        def out(parts):
+        def merged(parts):
             keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
 
-        texts, size, parts = [], 0, []
+        def out(keys, many):
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(np.where(keys & 1, 0, many)), pa.array(many)], names=["gram", "n", "seen"])
+
+        texts, size, parts = ([], []), 0, []
         for batch in _ended(batches):
-            for text in batch.column(0).cast(pa.binary()) if batch is not None else [None]:
+            for text, held in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()) if batch is not None else [(None, None)]:
                 if batch is not None:
-                    texts.append(stream_of(tokens_of(text.as_py())))
-                    size += len(texts[-1])
-                if texts and (size > 2_000_000 or batch is None):
-                    parts.append(np.unique(stream_grams(texts, depth)[0], return_counts=True))
-                    texts, size = [], 0
-                    if sum(len(k) for k, _ in parts) > 3_000_000:
-                        parts = [out(parts)]
-                        if len(parts[0][0]) > 2_000_000:
-                            yield pa.RecordBatch.from_arrays([*map(pa.array, parts.pop())], names=["gram", "n"])
+                    own = stream_of(tokens_of(text.as_py()))
+                    texts[held].append(own)
+                    size += len(own)
+                if size and (size > 1_000_000 or batch is None):
+                    parts += [np.unique(stream_grams(t, depth)[0] << 1 | held, return_counts=True) for held, t in enumerate(texts) if t]
+                    texts, size = ([], []), 0
+                    if sum(len(k) for k, _ in parts) > flush:
+                        parts = [merged(parts)]
+                        if len(parts[0][0]) > flush // 2:
+                            yield out(*parts.pop())
         if parts:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out(parts))], names=["gram", "n"])
+            yield out(*merged(parts))
 
-    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    shorter = [F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")) for d in range(depth + 1)]
-    rows = rows.select("n", F.explode(F.array(*shorter)).alias("g")).groupBy("g.d", "g.gram").agg(F.sum("n").alias("n"))
-    rows = cut(rows.withColumn("before", F.sum("n").over(Window.partitionBy("d", F.shiftright("gram", 8)))), "grams")
-    total = rows.where("d = 0").agg(F.sum("n")).first()[0] or 0
-    got = rows.where(F.col("before") * share >= total).select("d", "gram", "n").toArrow()
-    return tuple(got[c].to_numpy() for c in ("d", "gram", "n"))
+    found = rows.select("text", "held_out").mapInArrow(run, "gram long, n long, seen long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def _ended(batches):
@@ -248,12 +257,13 @@ def held_out(parts: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == 1, F.lit(False))
 
 
-def score(spark: SparkSession, docs: DataFrame, parts: int = 5, depth: int = 5, share: int = 1 << 18, frequent: int = 1 << 16) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, parts: int = 5, depth: int = 5, frequent: int = 1 << 16, near: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
     Null and empty texts have one token, the end. Rows that share a doc_id each get a row and, if not held out, are each
     learned from. Columns other than doc_id and text are ignored. An empty table gives an empty result; without any
-    training row every decision has probability one half.
+    training row every decision has probability one half. Very long texts are scored whole, by the same counts; a
+    worker holds one of them at a time. `frequent` tokens and `near` grams at most reach the driver and are broadcast.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(parts).alias("held_out"))
     train = rows.where("not held_out")
@@ -261,47 +271,58 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = 5, depth: int = 5,
     tokens = cut(token_counts(train), "tokens")
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    tree = ContextTree(*gram_counts(train, depth, share), depth)
+    grams = cut(gram_counts(rows, depth), "grams")
+    levels = tree(grams.where("n > 0").select("gram", "n"), depth)
+    scores = cut(gram_scores(grams, levels), "scores")
+    discard(grams, *levels)
     top = {bytes(r["token"], "utf-8"): r["c"] for r in tokens.orderBy(F.desc("c"), "token").limit(frequent).collect()}
-    shared = spark.sparkContext.broadcast((tree, top, ends))
+    near_grams, near_scores, least = most_seen(scores, near)
+    shared = spark.sparkContext.broadcast((near_grams, near_scores, top, ends))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tree, top, ends = shared.value
-        remembered = Remembered(tree)
+        near_grams, near_scores, top, ends = shared.value
+        known_grams = Known(near_grams, near_scores)
         end_base = math.log10(ends + 0.5)
         row = TaskContext.get().partitionId() << 36
 
+        def rare(names, doc, place, many):
+            """Rows of (row, key, times) in batches; place: numbers of names."""
+            for i in range(0, len(doc), 100_000):
+                part = slice(i, i + 100_000)
+                j = len(doc[part])
+                key = pa.array(names(place[part]), pa.binary()).cast(pa.string())
+                null = lambda kind: pa.nulls(j, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(row + doc[part]), null(pa.int64()), null(pa.bool_()), key, pa.array(many[part]), null(pa.int64()), null(pa.int64()), null(pa.float64()), null(pa.float64())], names=columns)
+
         def flush(ids, held, starts, places, vocabulary, texts):
             nonlocal row
-            words = list(vocabulary)
+            words, m = list(vocabulary), len(ids)
             known = np.array([top.get(w, -1) for w in words], np.int64)
-            grams, lengths = stream_grams(texts, tree.depth)
-            sums = np.concatenate([[0.0], np.cumsum(remembered.log10(grams), dtype=float)])
-            stops = np.cumsum(lengths)
-            lm = sums[stops] - sums[stops - lengths]
+            grams, lengths = stream_grams(texts, depth)
+            found, missing = known_grams.find(grams)
+            of_text = np.repeat(np.arange(m), lengths)
+            lm = np.bincount(of_text, found, m)
             place = np.concatenate([np.asarray(p, np.int64) for p in places]) if places else np.zeros(0, np.int64)
             sizes = np.diff([*starts, len(place)])
-            doc = np.repeat(np.arange(len(ids)), sizes)
+            doc = np.repeat(np.arange(m), sizes)
             sure = known[place] >= 0
-            fold = lambda x: np.bincount(doc, x, len(ids))
+            fold = lambda x: np.bincount(doc, x, m)
             base = fold(np.where(sure, np.log10(np.maximum(known[place], 0) + 0.5), 0.0)) + end_base
             n_known = fold(sure.astype(float)).astype(np.int64) + (ends > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([f"\n\n{row + i}" for i in range(m)]), pa.nulls(m, pa.int64()), pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(lm)], names=columns)
             rest, many = np.unique((doc[~sure] << 32) | place[~sure], return_counts=True)
-            null = lambda k, kind: pa.nulls(k, kind)
-            m, k = len(ids), len(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([f"\n{row + i}" for i in range(m)]), null(m, pa.int64()), pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(lm)], names=names)
-            for i in range(0, k, 100_000):
-                part = rest[i : i + 100_000]
-                j = len(part)
-                token = pa.array([words[x] for x in (part & 0xFFFFFFFF).tolist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(row + (part >> 32)), null(j, pa.int64()), null(j, pa.bool_()), token, pa.array(many[i : i + 100_000]), null(j, pa.int64()), null(j, pa.int64()), null(j, pa.float64()), null(j, pa.float64())], names=names)
+            yield from rare(lambda x: [words[i] for i in x.tolist()], rest >> 32, rest & 0xFFFFFFFF, many)
+            if missing.any():
+                far, place = np.unique(grams[missing], return_inverse=True)
+                rest, many = np.unique((of_text[missing] << 32) | place, return_counts=True)
+                yield from rare(lambda x: [b"\n%d" % i for i in far[x].tolist()], rest >> 32, rest & 0xFFFFFFFF, many)
             row += m
 
-        names = ["row", "doc_id", "held_out", "token", "times", "n_tokens", "n_known", "base", "lm"]
+        columns = ["row", "doc_id", "held_out", "key", "times", "n_tokens", "n_known", "base", "lm"]
         fresh = lambda: ([], [], [], [], defaultdict(count().__next__), [])
         state, size = fresh(), 0
         for batch in batches:
@@ -315,16 +336,22 @@ def score(spark: SparkSession, docs: DataFrame, parts: int = 5, depth: int = 5,
                 if words:
                     places.append(np.array([*map(vocabulary.__getitem__, words)], np.int32))
                 size += len(words)
-                if size > 400_000 or len(ids) >= 50_000:
+                if size > 200_000 or len(ids) >= 50_000:
                     yield from flush(*state)
                     state, size = fresh(), 0
         if state[0]:
             yield from flush(*state)
 
-    kinds = "row long, doc_id long, held_out boolean, token string, times long, n_tokens long, n_known long, base double, lm double"
-    parts_of = rows.mapInArrow(run, kinds)
-    counted = parts_of.join(tokens, "token", "left")
+    kinds = "row long, doc_id long, held_out boolean, key string, times long, n_tokens long, n_known long, base double, lm double"
+    # A gram's key is a line break and its number, which no token holds.
+    far = scores.where(F.col("seen") < F.lit(least)).select(F.concat(F.lit("\n"), F.col("gram").cast("string")).alias("key"), F.lit(None).cast("long").alias("c"), "score")
+    lookup = tokens.select(F.col("token").alias("key"), "c", F.lit(None).cast("double").alias("score")).unionByName(far)
+    counted = rows.mapInArrow(run, kinds).join(lookup, "key", "left")
     c, times = F.coalesce("c", F.lit(0)), F.coalesce("times", F.lit(0))
-    summed = counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), (F.sum(F.coalesce("n_known", F.lit(0)) + F.when(c > 0, times).otherwise(0))).alias("n_known"), F.sum(F.coalesce("base", F.lit(0.0)) + times * F.log10(c + 0.5)).alias("base"), F.sum("lm").alias("score"))
+    token = ~F.col("key").startswith("\n")
+    summed = counted.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.coalesce("n_known", F.lit(0)) + F.when(c > 0, times).otherwise(0)).alias("n_known"),
+        F.sum(F.coalesce("base", F.lit(0.0)) + F.when(token, times * F.log10(c + 0.5)).otherwise(0.0)).alias("base"), F.sum(F.coalesce("lm", F.lit(0.0)) + times * F.coalesce("score", F.lit(0.0))).alias("score"),
+    )
     scale = math.log10(n + 0.5 * (v + 1))
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * scale).alias("base_score"), "score")

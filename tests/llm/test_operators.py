@@ -315,18 +315,73 @@ def test_fertility_rejects_symbols(spark):
     assert [r["kept"] for r in got] == [False, False, False, True, True]
 
 
-def test_context_tree_is_a_distribution():
-    text = b"abracadabra abracadabra cadabra \n"
-    grams, _ = context_tree.stream_grams([text * 20], 3)
-    at, keys, n = [], [], []
-    for d in range(4):
-        k, c = np.unique(grams & ((1 << (8 * (d + 1))) - 1), return_counts=True)
-        at, keys, n = at + [d] * len(k), [*keys, *k], [*n, *c]
-    tree = context_tree.ContextTree(np.array(at), np.array(keys, np.int64), np.array(n), 3)
-    for context in (b"abr", b"zzz", b"\0\0\n", b"dab"):
-        each = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.int64)
-        assert math.isclose((10.0 ** tree.log10(each)).sum(), 1, rel_tol=1e-5)
-        assert np.allclose(context_tree.Remembered(tree, 10).log10(np.concatenate([each, each])), np.concatenate([tree.log10(each)] * 2), atol=1e-5)
+class SlowTree:
+    """Context-tree weighting by dictionaries, one sequence after the other."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children = depth, {}, {}
+        for text in texts:
+            for context, heap, bit in self.decisions(text):
+                for d in range(depth + 1):
+                    key = (context[len(context) - d :], heap)
+                    self.counts.setdefault(key, [0, 0])[bit] += 1
+                    if d:
+                        self.children.setdefault((key[0][1:], heap), set()).add(key)
+        self.mixed, self.weight = {}, {}
+        for key in sorted(self.counts, key=lambda k: -len(k[0])):
+            z, o = self.counts[key]
+            own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - 2 * math.lgamma(0.5)
+            if len(key[0]) == depth:
+                self.mixed[key], self.weight[key] = own, 1.0
+                continue
+            deeper = sum(self.mixed[c] for c in self.children[key])
+            self.mixed[key] = np.logaddexp(own, deeper) - math.log(2)
+            self.weight[key] = 1 / (1 + math.exp(min(deeper - own, 700)))
+
+    def decisions(self, text):
+        raw = b"\0" * (self.depth - 1) + b"\n" + text
+        for i in range(self.depth, len(raw)):
+            for j in range(8):
+                yield raw[i - self.depth : i], 1 << j | raw[i] >> 8 - j, raw[i] >> 7 - j & 1
+
+    def bit(self, context, heap, bit):
+        out, left, last = 0.0, 1.0, 0.5
+        for d in range(self.depth + 1):
+            key = (context[len(context) - d :], heap)
+            if key not in self.counts:
+                break
+            z, o = self.counts[key]
+            last = ((o if bit else z) + 0.5) / (z + o + 1)
+            out += left * self.weight[key] * last
+            left *= 1 - self.weight[key]
+        return out + left * last
+
+    def log10(self, text):
+        return sum(math.log10(self.bit(*x)) for x in self.decisions(text))
+
+
+@pytest.mark.parametrize("depth", [2, 5])
+def test_context_tree_against_a_slow_one(spark, depth):
+    """All grams near, some and none; held-out texts with bytes and contexts that were never seen."""
+    import zlib
+
+    texts = made_texts(21, 40) + ["", None, "zzz ÄÖ 日本 zzz", "a", "ABRA abra " * 200]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    streams = [context_tree.stream_of(context_tree.tokens_of((t or "").encode())) for t in texts]
+    slow = SlowTree([s for s, h in zip(streams, held) if not h], depth)
+    assert any(held) and math.isclose(sum(10 ** slow.log10(bytes([b])) for b in range(256)), 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for near in (1 << 20, 40, 0):
+        got = {r["doc_id"]: r["score"] for r in context_tree.score(spark, df, depth=depth, near=near).collect()}
+        assert len(got) == len(texts) and all(math.isclose(got[i], slow.log10(s), rel_tol=1e-7) for i, s in enumerate(streams))
+
+
+def test_sure_contexts_are_never_impossible(spark):
+    """A context seen a thousand million times with one byte leaves another byte a chance."""
+    grams = spark.createDataFrame([(int.from_bytes(b"a:/", "big"), 10**9, 10**9), (int.from_bytes(b"b:/", "big"), 3 * 10**9, 3 * 10**9), (int.from_bytes(b"a:#", "big"), 0, 1)], "gram long, n long, seen long")
+    levels = context_tree.tree(grams.where("n > 0").select("gram", "n"), 2)
+    got = {r["gram"] & 255: r["score"] for r in context_tree.gram_scores(grams, levels).collect()}
+    assert -30 < got[ord("#")] < -8 and -1e-8 < got[ord("/")] <= 0
 
 
 def test_score(spark, odd):
