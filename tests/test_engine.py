@@ -191,7 +191,7 @@ def test_nth_place_and_broken_records():
 
 
 def test_walk_and_locate(spark):
-    line = json.dumps({"z": "1", "a": {"x y": ["2", {"type": "base64", "data": "skip"}]}, "signature": "s" * 400})
+    line = json.dumps({"z": "1", "a": {"x y": ["2", {"type": "image", "source": {"type": "base64", "data": "skip"}}]}, "signature": "s" * 400})
     got = context.walk(spark.createDataFrame([(1, line), (2, "no json"), (3, None)], "id long, line string")).collect()
     assert [(r["json_path"], r["value"]) for r in got] == [("z", "1"), ("a['x y'][0]", "2")]
 
