@@ -5,9 +5,10 @@ agree. Within a source documents are ordered by key, sizes are prefix-summed, an
 source's budget are in. A target above the source's own size takes whole epochs of everything first
 and selects only the fraction that is left.
 
-No source is ever sorted as a whole: keys fall into buckets of equal probability, bucket sums are
-prefix-summed, and only the bucket in which a budget ends is ordered. What each source needs then is
-one row: its epochs and the key at which its budget ends.
+No source is ever sorted as a whole: keys fall into buckets, bucket sums are prefix-summed, and the
+bucket in which a budget ends is divided again between its own least and largest key, until it holds
+few rows (or one key). Only these are ordered, so no task orders more of a source, whatever its weights
+are. What each source needs then is one row: its epochs and the key at which its budget ends.
 """
 
 from __future__ import annotations
@@ -67,14 +68,32 @@ def targets(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     return each.select("source_key", "source_size", "target", epochs.alias("epochs"), (words - epochs * F.col("source_size")).alias("rest"))
 
 
-def cutoffs(slim: DataFrame, goal: DataFrame, buckets: int = 4096) -> DataFrame:
-    """goal with the place where each source's budget ends: end_key, end_id, end_size, and end_words for each row tied there."""
-    bucket = F.floor(F.lit(buckets) * (1 - F.exp(-F.col("es_key")))).cast("int")
-    slim = slim.withColumn("bucket", bucket).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sums = slim.groupBy("source_key", "bucket").agg(F.sum("size").alias("size")).join(goal.select("source_key", "rest"), "source_key")
+def last_buckets(slim: DataFrame, goal: DataFrame, buckets: int = 4096, few: int = 10_000) -> DataFrame:
+    """(source_key, rest, before, low, high, rows): the keys from low to high among which a source's budget ends, and the words before them.
+
+    At most `few` rows have such keys, or all of them have the same key.
+    """
+    place = F.log("es_key")
+    ends = goal.where("rest > 0").select("source_key", "rest", F.lit(0).cast("long").alias("before"), F.lit(1e-18).alias("low"), F.lit(1e6).alias("high"))
     upto = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("before", F.sum("size").over(upto) - F.col("size")).where("before < rest and before + size >= rest").select("source_key", "bucket", "before", "rest")
-    ties = slim.join(ends, ["source_key", "bucket"]).groupBy("source_key", "before", "rest", "es_key", "id", "size").agg(F.count("*").alias("rows"))
+    while True:
+        inside = slim.join(ends, "source_key").where("es_key >= low and es_key <= high")
+        share = (place - F.log("low")) / (F.log("high") - F.log("low"))
+        bucket = F.when(F.log("high") > F.log("low"), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise((F.col("es_key") > F.col("low")).cast("long"))
+        sums = inside.withColumn("bucket", bucket).groupBy("source_key", "rest", "before", "bucket").agg(F.sum("size").alias("size"), F.min("es_key").alias("low"), F.max("es_key").alias("high"), F.count("*").alias("rows"))
+        sums = sums.withColumn("start", F.col("before") + F.sum("size").over(upto) - F.col("size")).where("start < rest and start + size >= rest")
+        ends = cut(sums.select("source_key", "rest", F.col("start").alias("before"), "low", "high", "rows"), "ends")
+        if not ends.where((F.col("rows") > few) & (F.col("low") < F.col("high"))).take(1):
+            return ends
+        ends = ends.drop("rows")
+
+
+def cutoffs(slim: DataFrame, goal: DataFrame, buckets: int = 4096, few: int = 10_000) -> DataFrame:
+    """goal with the place where each source's budget ends: end_key, end_id, end_size, and end_words for each row tied there."""
+    ends = last_buckets(slim, goal, buckets, few).drop("rows")
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    last = slim.withColumn("id", ident).join(ends, "source_key").where("es_key >= low and es_key <= high")
+    ties = last.groupBy("source_key", "before", "rest", "es_key", "id", "size").agg(F.count("*").alias("rows"))
     within = Window.partitionBy("source_key").orderBy("es_key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("rows") * F.col("size")
     ties = ties.withColumn("start", F.col("before") + F.sum(total).over(within) - total).where((F.col("start") < F.col("rest")) & (F.col("start") + total >= F.col("rest")))
@@ -82,19 +101,19 @@ def cutoffs(slim: DataFrame, goal: DataFrame, buckets: int = 4096) -> DataFrame:
     return goal.join(ties, "source_key", "left")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, buckets: int = 4096, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, buckets: int = 4096, seed: str = "mix", keep: list[str] | None = None, few: int = 10_000) -> DataFrame:
     """The columns of keep (all, by default), size, source_size, target and taken for each row of docs.
 
     taken counts the words of all copies; the document at which a source's budget ends is taken in part, and rows tied
     there (same doc_id and size) share what is left evenly. Null texts have size 0 and are never taken, a null source is
-    one more source (the last), a null doc_id draws one fixed key. With no words at all, all targets are 0. An empty
+    one more source (the last), a null doc_id draws one fixed key. A very long text is a row like others. With no words at all, all targets are 0. An empty
     table gives an empty result. Columns of docs called size, source_size, target or taken are replaced.
     """
     keep = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "taken")]
     rows = sized(docs.select(F.struct(*keep).alias("row"), "doc_id", "source", "text"), seed)
     slim = cut(rows.select("doc_id", "source_key", "size", "es_key"), "sizes")
     goal = cut(targets(slim, weights, most), "targets")
-    ends = cut(cutoffs(slim, goal, buckets), "cutoffs")
+    ends = cut(cutoffs(slim, goal, buckets, few), "cutoffs")
     if keep == ["doc_id"]:
         rows = slim.withColumn("row", F.struct("doc_id"))
     if ends.count() <= BROADCAST_SOURCES:
