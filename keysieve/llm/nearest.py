@@ -8,6 +8,11 @@ How many leaves a query visits follows the table: the exact neighbours of some q
 all rows, and the budget is what reaches `recall` of them. So recall holds at any size; where vectors
 are not clustered it is the share of rows scanned that holds, and time grows with their product.
 
+Trees of a bounded sample have a bounded depth, so leaves grow with the table. A leaf of more than
+`SPLIT` rows is divided further by the task that holds it, on its own rows, and a query goes on there
+by a queue of the same kind: into parts by the margin by which it misses them, until that is no less
+than the distance of the last neighbour it has. So this second step loses nothing.
+
 Rows meet queries by a shuffle on buckets of leaves, where each query's rows are merged. Of equal
 vectors only the k + 1 smallest ids can be among k nearest, so the others leave before the shuffle;
 equal queries are searched once.
@@ -15,6 +20,7 @@ equal queries are searched once.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +30,8 @@ from keysieve.llm.common import cut
 
 #: Vectors that the trees are fitted on, at most, and queries whose exact neighbours set the leaf budget.
 SAMPLE, TRIALS = 16_384, 128
+#: Rows of a leaf beyond which the task that holds it divides it further.
+SPLIT = 256
 
 
 class Forest:
@@ -84,29 +92,97 @@ class Forest:
         return np.argsort(self.missed(vector), kind="stable")[:leaves]
 
 
-def matrix(column):
+class Parts:
+    """A large leaf divided on its own rows, down to `leaf` rows, by directions between two of them. A node is its rows, or (direction, middle, place of its first child)."""
+
+    def __init__(self, x, rows, leaf: int, seed: int):
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        self.nodes, todo = [None], [(0, rows)]
+        while todo:
+            at, rows = todo.pop()
+            self.nodes[at] = rows
+            if len(rows) <= leaf:
+                continue
+            a, b = rng.choice(rows, 2, replace=False)
+            gap = x[a] - x[b]
+            if not (norm := np.linalg.norm(gap)):
+                continue
+            direction = gap / norm
+            along = x[rows] @ direction
+            middle = np.median(along)
+            left = along <= middle
+            if left.all():
+                continue
+            self.nodes[at] = (direction, middle, len(self.nodes))
+            todo += [(len(self.nodes), rows[left]), (len(self.nodes) + 1, rows[~left])]
+            self.nodes += [None, None]
+
+
+class Best:
+    """The nearest rows of one query that were seen, each id once."""
+
+    def __init__(self, x, ids, y, k: int):
+        import numpy as np
+
+        self.x, self.ids, self.y, self.k, self.compared = x, ids, y, k, 0
+        self.found, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+    @property
+    def reach(self) -> float:
+        """The distance beyond which nothing is wanted."""
+        return self.scores[-1] if len(self.scores) == self.k else math.inf
+
+    def see(self, rows) -> None:
+        import numpy as np
+
+        self.compared += len(rows)
+        gap = self.x[rows] - self.y
+        ids, scores = np.concatenate([self.found, self.ids[rows]]), np.concatenate([self.scores, np.sqrt((gap * gap).sum(axis=1))])
+        ids, first = np.unique(ids, return_index=True)
+        order = np.lexsort((ids, scores[first]))[: self.k]
+        self.found, self.scores = ids[order], scores[first][order]
+
+    def search(self, trees: list[Parts]) -> None:
+        """Parts of several large leaves by one queue of missed margins, as long as they can hold something nearer."""
+        queue = [(0.0, i, 0) for i in range(len(trees))]
+        while queue:
+            missed, i, at = heapq.heappop(queue)
+            if missed > self.reach:
+                return
+            node = trees[i].nodes[at]
+            if not isinstance(node, tuple):
+                self.see(node)
+                continue
+            direction, middle, child = node
+            margin = float(self.y @ direction - middle)
+            heapq.heappush(queue, (max(missed, margin), i, child))
+            heapq.heappush(queue, (max(missed, -margin), i, child + 1))
+
+
+def matrix(column, kind: str = "float32"):
     import numpy as np
 
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(column), -1)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), -1)
 
 
-def exact(rows: DataFrame, trials: list, k: int) -> DataFrame:
-    """(asked, vec_id, vector, score): the k nearest rows of each of some queries, other than itself, by distances to all rows."""
+def exact(rows: DataFrame, asks, points, k: int) -> DataFrame:
+    """(asked, vec_id, vector, score): the k nearest rows of each of some queries (ids, vectors), other than itself, by distances to all rows."""
     import numpy as np
 
-    asks, points = np.array([t["vec_id"] for t in trials]), np.array([t["vector"] for t in trials], float)
+    vector = rows.schema["vector"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, points.shape[1]), np.float32))] * len(asks)
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, points.shape[1])))] * len(asks)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            wide = x.astype(float)
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), "float64")
             for q, y in enumerate(points):
-                d = np.where(ids == asks[q], np.inf, np.sqrt(((wide - y) ** 2).sum(axis=1)))
+                d = np.where(ids == asks[q], np.inf, np.sqrt(((x - y) ** 2).sum(axis=1)))
                 first = np.lexsort((ids, d))[:k] if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
                 first = first[d[first] < np.inf]
                 held = [np.concatenate(p) for p in zip(best[q], (d[first], ids[first], x[first]))]
@@ -114,65 +190,75 @@ def exact(rows: DataFrame, trials: list, k: int) -> DataFrame:
                 best[q] = tuple(h[order] for h in held)
         for q, (d, ids, x) in enumerate(best):
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), asks[q])), pa.array(ids), pa.array(list(x), pa.list_(pa.float32())), pa.array(d)], names=["asked", "vec_id", "vector", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), asks[q])), pa.array(ids), pa.array(list(x), pa.list_(pa.float32() if "float" in vector else pa.float64())), pa.array(d)], names=["asked", "vec_id", "vector", "score"])
 
     nearest_first = Window.partitionBy("asked").orderBy("score", "vec_id")
-    found = rows.select("vec_id", "vector").mapInArrow(run, "asked long, vec_id long, vector array<float>, score double")
+    found = rows.select("vec_id", "vector").mapInArrow(run, f"asked long, vec_id long, vector {vector}, score double")
     return found.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= k).drop("n")
 
 
-def leaf_budget(forest: Forest, trials: list, found: list, recall: float) -> int:
-    """Least number of leaves in which queries meet that share of their exact neighbours."""
+def leaf_budget(forest: Forest, asks, points, found, recall: float) -> int:
+    """Least number of leaves in which queries meet that share of their exact neighbours; found: a table of asked and vector."""
     import numpy as np
 
-    places, near = [], {}
-    for r in found:
-        near.setdefault(r["asked"], []).append(r["vector"])
-    for t in trials:
-        if t["vec_id"] in near:
+    places, asked = [], found["asked"].to_numpy()
+    if not len(asked):
+        return 1
+    near = forest.leaves_of(matrix(found["vector"].combine_chunks()))
+    for ask, point in zip(asks, points):
+        if (own := asked == ask).any():
             place = np.empty(forest.trees * (forest.nodes + 1), np.int64)
-            place[forest.search(np.array(t["vector"], np.float32), len(place))] = np.arange(len(place))
-            places.append(place[forest.leaves_of(np.array(near[t["vec_id"]], np.float32))].min(axis=1))
-    ranks = np.sort(np.concatenate(places)) if places else np.zeros(1, np.int64)
+            place[forest.search(point.astype(np.float32), len(place))] = np.arange(len(place))
+            places.append(place[near[own]].min(axis=1))
+    ranks = np.sort(np.concatenate(places))
     return int(ranks[math.ceil(recall * len(ranks)) - 1]) + 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector) without null, zero and non-finite vectors, one row for each vec_id, all of the most frequent length."""
+    """(vec_id, vector) without null, zero and non-finite vectors, one row for each vec_id; floats stay floats, others become doubles."""
     v = F.col("embedding").cast("array<double>")
+    kept = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     fine = F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(fine).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<float>")).alias("vector"))
-    return rows
+    return vectors.where(fine).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast(kept)).alias("vector"))
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 12, leaf: int = 64, leaves: int = 96, sample: int = SAMPLE, recall: float = 0.95) -> DataFrame:
+def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 12, leaf: int = 64, leaves: int | None = 96, sample: int = SAMPLE, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by Euclidean distance, ties to smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all rows but the query's own. Vectors that are
-    null, zero, or hold null or non-finite components take no part, nor do those of another length than most; of rows
-    that share a vec_id the smallest vector counts. With fewer candidates than k all those found are returned; an empty
-    table gives an empty result. Other columns are ignored. A query visits `leaves` leaves, or as many more as `recall` needs.
-    At most `sample` vectors, and the neighbours of `TRIALS` queries, reach the driver.
+    null, zero, or hold null or non-finite components take no part; vectors are compared with those of their own length
+    (each length has its own forest); of rows that share a vec_id the smallest vector counts. With fewer candidates than k
+    all those found are returned; an empty table gives an empty result. Other columns are ignored. A query visits `leaves`
+    leaves, or as many more as `recall` needs; with None it visits all and the result is exact. At most `sample` vectors
+    of a length, and the neighbours of `TRIALS` queries, reach the driver. Long vectors are handled like others.
     """
+    rows = cut(usable(vectors), "vectors")
+    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy("length").collect()
+    out = None
+    for r in lengths:
+        own = rows if len(lengths) == 1 else rows.where(F.size("vector") == r["length"])
+        found = _of_one_length(spark, own, r["count"], k, every, trees, leaf, leaves, sample, recall)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _of_one_length(spark: SparkSession, rows: DataFrame, total: int, k: int, every: int, trees: int, leaf: int, leaves: int | None, sample: int, recall: float) -> DataFrame:
     import numpy as np
 
-    empty = "query_id long, rank int, vec_id long, score double"
-    rows = cut(usable(vectors), "vectors")
-    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], empty)
-    rows, total = rows.where(F.size("vector") == lengths[0]["length"]), lengths[0]["count"]
-    few = rows.orderBy(F.xxhash64("vec_id")).limit(sample).select("vector").collect()
-    points = np.array([r["vector"] for r in few], np.float32)
+    whole, vector = leaves is None, rows.schema["vector"].dataType.simpleString()
+    trees = 1 if whole else trees
+    points = matrix(rows.orderBy(F.xxhash64("vec_id")).limit(sample).select("vector").toArrow()["vector"].combine_chunks())
     depth = max(0, min(math.ceil(math.log2(max(total / leaf, 1))), int(math.log2(max(len(points) / 8, 1)))))
     same = Window.partitionBy("vector").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = queries.groupBy("vector").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "vector")
     forest = Forest(points, depth, trees)
-    trials = asked.orderBy(F.xxhash64("vec_id")).limit(TRIALS).collect()
-    if trials:
-        leaves = max(leaves, leaf_budget(forest, trials, exact(kept, trials, k).collect(), recall))
+    if whole:
+        leaves = forest.trees * (forest.nodes + 1)
+    elif len(trials := asked.orderBy(F.xxhash64("vec_id")).limit(TRIALS).toArrow()):
+        asks, wanted = trials["vec_id"].to_numpy(), matrix(trials["vector"].combine_chunks(), "float64")
+        leaves = max(leaves, leaf_budget(forest, asks, wanted, exact(kept, asks, wanted, k).select("asked", "vector").toArrow(), recall))
     shared = spark.sparkContext.broadcast(forest)
     size = total / (1 << depth)
     salts = max(1, math.ceil(size / 4096))
@@ -212,29 +298,34 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 1
         out = [[], [], []]
         if data.num_rows and asked.num_rows:
             column = lambda t, c: t.column(c).combine_chunks()
-            x, at = matrix(column(data, "vector")).astype(float), data["leaf"].to_numpy()
-            y, want = matrix(column(asked, "vector")).astype(float), column(asked, "leaves")
+            x, at = matrix(column(data, "vector"), "float64"), data["leaf"].to_numpy()
+            y, want = matrix(column(asked, "vector"), "float64"), column(asked, "leaves")
             ids, asks = data["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
             order = np.argsort(at, kind="stable")
-            at = at[order]
+            at, divided = at[order], {}
             for i in range(len(want)):
-                own = want[i].values.to_numpy()
-                spans = zip(np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right"))
-                near = np.concatenate([order[lo:hi] for lo, hi in spans])
-                near = near[np.unique(ids[near], return_index=True)[1]]
-                if len(near):
-                    gap = x[near] - y[i]
-                    d = np.sqrt((gap * gap).sum(axis=1))
-                    best = np.lexsort((ids[near], d))[: k + 1]
-                    out[0].append(np.full(len(best), asks[i]))
-                    out[1].append(ids[near][best])
-                    out[2].append(d[best])
+                own, best = want[i].values.to_numpy(), Best(x, ids, y[i], k + 1)
+                small, large = [], []
+                for number, lo, hi in zip(own, np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right")):
+                    if hi - lo <= SPLIT or whole:
+                        small.append(order[lo:hi])
+                    else:
+                        if number not in divided:
+                            divided[number] = Parts(x, order[lo:hi], leaf, int(number))
+                        large.append(divided[number])
+                if small and len(near := np.concatenate(small)):
+                    best.see(near)
+                best.search(large)
+                if len(best.found):
+                    out[0].append(np.full(len(best.found), asks[i]))
+                    out[1].append(best.found)
+                    out[2].append(best.scores)
         arrays = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({"asked": pa.array(arrays[0], pa.int64()), "vec_id": pa.array(arrays[1], pa.int64()), "score": pa.array(arrays[2], pa.float64())})
 
     salt = (F.pmod(F.xxhash64("vec_id"), F.lit(salts)) if salts > 1 else F.lit(0)).cast("int")
-    left = kept.mapInArrow(place, "vec_id long, vector array<float>, leaf long, bucket long").withColumn("salt", salt)
-    right = asked.mapInArrow(ask, "vec_id long, vector array<float>, leaves array<long>, bucket long").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = kept.mapInArrow(place, f"vec_id long, vector {vector}, leaf long, bucket long").withColumn("salt", salt)
+    right = asked.mapInArrow(ask, f"vec_id long, vector {vector}, leaves array<long>, bucket long").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(rank, "asked long, vec_id long, score double")
     nearest_first = Window.partitionBy("asked").orderBy("score", "vec_id")
     found = found.groupBy("asked", "vec_id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= k + 1).drop("n")
