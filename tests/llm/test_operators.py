@@ -112,6 +112,32 @@ def test_line_dedup(spark, odd, parts):
     assert sorted(map(tuple, got), key=repr) == brute_lines(odd[1])
 
 
+def test_line_runs_are_the_way(spark, odd, monkeypatch):
+    """Eight batches are anti-joined and compacted without a shuffle or sort of any run; without the anti-join's keepers nothing is dropped."""
+    plans, merges = [], []
+    write, add = line_dedup.LineRuns._write, line_dedup.LineRuns.add_lines
+
+    def seen(self, run):
+        plans.append(run._jdf.queryExecution().executedPlan().toString())
+        return write(self, run)
+
+    def counted(self, lines):
+        add(self, lines)
+        merges.append(self.merges)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", seen)
+    monkeypatch.setattr(line_dedup.LineRuns, "add_lines", counted)
+    got = line_dedup.line_dedup(spark, odd[0]).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("d")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_lines(odd[1])
+    assert len(merges) >= 7 and merges[-1] >= 1
+    joined, merged = [p for p in plans if "LeftAnti" in p], [p for p in plans if "FullOuter" in p]
+    assert len(plans) == len(merges) + len(joined) + len(merged) and len(joined) == len(merges) - 1 and len(merged) > merges[-1]
+    assert not any("Exchange" in p or "Sort [" in p for p in joined + merged)
+    monkeypatch.setattr(line_dedup.LineRuns, "unknown", lambda self, keys: keys.limit(0))
+    lost = line_dedup.line_dedup(spark, odd[0]).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("d")).collect()
+    assert sorted(map(tuple, lost), key=repr) != brute_lines(odd[1])
+
+
 def test_new_lines(spark):
     runs = line_dedup.LineRuns(spark, min_chars=3)
     first = spark.createDataFrame([(1, "abc\nabc\ndef", None, None, 0)], SCHEMA)
@@ -172,6 +198,27 @@ def test_mixing(spark, odd):
         assert size == source_size and math.isclose(target, goal[s]) and abs(taken - target) <= 3
 
 
+def test_mixing_orders_few_rows_whatever_the_weights(spark):
+    """Half of the documents are full of symbols, which have the least weight: the rows ordered at a budget's end stay few."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["word"] * rng.randint(1, 30) + (["###$$$%%%&&&"] * 60 if i % 2 else [])), "en", "ab"[i % 3 > 0], 0) for i in range(6000)]
+    slim = mixing.sized(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "source_key", "size", "es_key").cache()
+    goal = mixing.targets(slim).cache()
+    ends = mixing.last_buckets(slim, goal, buckets=16, few=20).collect()
+    assert len(ends) == 2 and all(r["rows"] <= 20 or r["low"] == r["high"] for r in ends)
+    got = {r["source_key"]: (r["end_id"], r["end_words"]) for r in mixing.cutoffs(slim, goal, 16, 20).collect()}
+    keys = slim.collect()
+    for r in goal.collect():
+        left, own = r["rest"], sorted((x["es_key"], str(x["doc_id"]), x["size"]) for x in keys if x["source_key"] == r["source_key"])
+        for _, doc, size in own:
+            if size >= left:
+                assert got[r["source_key"]] == (doc, left)
+                break
+            left -= size
+    slim.unpersist()
+    goal.unpersist()
+
+
 def test_url_filter(spark):
     urls = ["http://A.com/x", "https://example.com/en/1", "https://www.example.com/en/2?q=/x", "http://b.example.com/en/", "http://x.net/es/1#top", "http://net/fr/", "http://y.net/de/", "no scheme", None, "", "http://z.org", "a://b://c/d", "http://notcom/", "http://com", "http://x.com?y=/", "http://q.net/es"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("?"), "rule": F.lit(1), "n": F.lit(2)})
@@ -434,6 +481,44 @@ def test_nearest_budget_follows_the_table(spark):
     assert len(got) == 60 and hit >= 0.9 * 10 * len(got)
 
 
+def test_nearest_exact_by_length_in_doubles(spark):
+    """leaves=None is brute force, on the original doubles, among vectors of the same length."""
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((700, 24)), rng.standard_normal((40, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(a)] + [(1000 + i, v.tolist()) for i, v in enumerate(b)]
+    got = {}
+    for r in nearest.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, leaves=None).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == [*range(0, 700, 20), 1000, 1020]
+    for q, found in got.items():
+        x, at = (a, 0) if q < 1000 else (b, 1000)
+        d = np.sqrt(((x - x[q - at]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q - at][:10]
+        assert [v for _, v, _ in sorted(found)] == [at + i for i in order] and all(s == d[v - at] for _, v, s in found)
+
+
+def test_nearest_divides_large_leaves(spark, monkeypatch):
+    """Trees of a small sample have few leaves; those of many rows are divided where they are, so fewer rows are compared."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 16))
+    x = (centres[rng.integers(0, 60, 12_000)] + 0.15 * rng.standard_normal((12_000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(nearest, "SPLIT", 100)
+    got, hit = {}, 0
+    for r in nearest.nearest(spark, df, every=200, sample=128, leaves=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len({*np.argsort(d)[:10].tolist()} & found)
+    assert len(got) == 60 and hit >= 0.9 * 10 * len(got)
+    wide = x.astype(float)
+    parts, best = nearest.Parts(wide, np.arange(12_000), 64, 1), nearest.Best(wide, np.arange(12_000), wide[7], 11)
+    best.search([parts])
+    d = np.sqrt(((wide - wide[7]) ** 2).sum(1))
+    assert best.found.tolist() == np.lexsort((np.arange(12_000), d))[:11].tolist() and best.compared < 2000
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
