@@ -50,7 +50,7 @@ SECRET_REGEX, SAFE_REGEX = glob_regex(SECRET_FILES), glob_regex(SAFE_FILES)
 
 
 def plain_path(path: Column) -> Column:
-    return F.lower(F.translate(path, "\\", "/"))
+    return F.lower(F.rtrim(F.translate(path, "\\", "/"), F.lit("/")))
 
 
 def is_secret_file(path: Column) -> Column:

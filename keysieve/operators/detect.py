@@ -7,7 +7,7 @@ regular expression divides texts into runs, and runs meet the broadcast rules by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +35,13 @@ def matches(df: DataFrame, text: str = "text", rules: list[Rule] | None = None,
     """One row for each match in each row of df: df's other columns, then ord, rule_id, severity_rank, secret, start, end.
 
     Null and empty texts have none. start and end count code points from 0. With `values` (value to label, at most a few
-    thousand) a project's own environment values are found too, so rows aren't left out by the first test.
+    thousand) a project's own environment values are found too. Values and custom rules may be short, so with them rows
+    aren't left out by the first test. Rules, checks of one's own among them, are sent to the workers as they are.
     """
     keep = [c for c in df.columns if c != text]
-    ids, known = None if rules is None else tuple(r.rule_id for r in rules), tuple(sorted((values or {}).items()))
-    rows = df.where(F.col(text).isNotNull() if known else may_hold_secret(F.col(text))).select(text, *keep)
+    chosen, known = None if rules is None else tuple(rules), tuple(sorted((values or {}).items()))
+    every = bool(known) or bool({*(chosen or ())} - {*RULES})
+    rows = df.where(F.col(text).isNotNull() if every else may_hold_secret(F.col(text))).select(text, *keep)
     schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(FOUND).fields])
 
     def run(batches):
@@ -47,7 +49,7 @@ def matches(df: DataFrame, text: str = "text", rules: list[Rule] | None = None,
 
         from keysieve.operators.kernel import detector
 
-        find = detector(ids, known).find
+        find = detector(chosen, known).find
         for batch in batches:
             index, found = [], []
             for i, value in enumerate(batch.column(0).cast(pa.binary())):
@@ -108,3 +110,12 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<value:string,start:int,end:int>>)").alias("out"))
     steps = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def span_rows(df: DataFrame, text: str, pattern: str) -> DataFrame:
+    """df's other columns, nth (from 0), start and end of each match of a plain pattern, in texts of any length: prefix sums over what lies between matches, in linear time."""
+    gaps, keep = F.split(text, pattern, -1), [c for c in df.columns if c != text]
+    rows = df.select(*keep, F.monotonically_increasing_id().alias("_row"), F.transform(gaps, F.length).alias("_gaps"))
+    found = rows.select(*keep, "_row", F.posexplode(F.slice("_gaps", F.lit(1), F.size("_gaps") - 1)).alias("nth", "_gap"))
+    start = (F.sum("_gap").over(Window.partitionBy("_row").orderBy("nth")) + len(pattern) * F.col("nth")).cast("int")
+    return found.select(*keep, "nth", start.alias("start"), (start + len(pattern)).alias("end"))

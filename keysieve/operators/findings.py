@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.functions import scalars
-from keysieve.plans.rules import SEVERITIES, rules_table
+from keysieve.plans.rules import RULES, SEVERITIES, Rule, env_rule, rules_table
 
 LOCATION = "struct<agent:string,file:string,line:int,json_path:string,session:string,project:string,timestamp:string,origin:string>"
 #: Origins in order of display, and what they say.
@@ -28,11 +28,12 @@ def location(**columns: Column) -> Column:
     return F.struct(*(F.coalesce(columns.get(n, empty.get(n, F.lit(""))), empty.get(n, F.lit(""))).cast("int" if n == "line" else "string").alias(n) for n in names))
 
 
-def merge(hits: DataFrame) -> DataFrame:
+def merge(hits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One finding for each fingerprint of hits (ord, rule_id, severity_rank, secret, location).
 
     The rule with the smallest ord names it; equal locations count once, ordered by timestamp (none last), file and line.
-    Partial aggregation keeps one row for each fingerprint and location before the shuffle.
+    Partial aggregation keeps one row for each fingerprint and location before the shuffle. rules: those the hits are of,
+    if there are custom ones among them.
     """
     spots = hits.groupBy(scalars.fingerprint(F.col("secret")).alias("fingerprint"), "location").agg(F.min(F.struct("ord", "rule_id", "severity_rank", "secret")).alias("rule"))
     order = F.struct(F.coalesce(F.nullif(F.col("location.timestamp"), F.lit("")), F.lit("~")).alias("t"), F.col("location.file").alias("f"), F.col("location.line").alias("l"), F.col("location"))
@@ -46,9 +47,10 @@ def merge(hits: DataFrame) -> DataFrame:
         F.min(F.nullif(F.col("location.timestamp"), F.lit(""))).alias("first_seen"),
         F.max(F.nullif(F.col("location.timestamp"), F.lit(""))).alias("last_seen"),
     )
-    rules = rules_table(hits.sparkSession).select("rule_id", "rule_name", "provider", "rotate_url")
+    own = [r for r in rules or () if r not in RULES]
+    named_rules = rules_table(hits.sparkSession, [*RULES, env_rule(), *own]).select("rule_id", "rule_name", "provider", "rotate_url")
     found = grouped.select("rule.rule_id", "rule.severity_rank", "rule.secret", "fingerprint", "agents", "origins", "sessions", F.size("locations").cast("long").alias("occurrences"), "first_seen", "last_seen", "locations")
-    return found.join(F.broadcast(rules), "rule_id", "left").withColumn("severity", scalars.severity_label(F.col("severity_rank"))).withColumn("masked", scalars.mask(F.col("secret")))
+    return found.join(F.broadcast(named_rules), "rule_id", "left").withColumn("severity", scalars.severity_label(F.col("severity_rank"))).withColumn("masked", scalars.mask(F.col("secret")))
 
 
 def without_ignored(findings: DataFrame, ignored: DataFrame) -> DataFrame:

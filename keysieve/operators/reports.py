@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import html
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.functions import scalars
+from keysieve.functions.plain import fingerprint
+from keysieve.operators import detect, redact
 from keysieve.operators import findings as F_
+from keysieve.operators.redact import HIDE_FROM
 from keysieve.plans.rules import RULES
 
 #: Level and score of a severity in SARIF.
@@ -17,8 +21,10 @@ LEVELS = {"critical": ("error", "9.5"), "high": ("error", "8.0"), "medium": ("wa
 
 
 def json_rows(findings: DataFrame) -> DataFrame:
-    """One JSON object for each finding."""
-    return F_.public(findings).select("fingerprint", F.to_json(F.struct("rule_id", "rule_name", "provider", "severity", "masked", "fingerprint", "rotate_url", "agents", "origins", "sessions", "occurrences", "first_seen", "last_seen", "locations")).alias("finding"))
+    """One JSON object for each finding. A secret that stands in what describes one (a folder's or session's name) is replaced too."""
+    rows = F_.public(findings).select("fingerprint", F.to_json(F.struct("rule_id", "rule_name", "provider", "severity", "masked", "fingerprint", "rotate_url", "agents", "origins", "sessions", "occurrences", "first_seen", "last_seen", "locations")).alias("finding"))
+    found = detect.matches(rows.withColumnRenamed("finding", "text"))
+    return redact.redact(rows, found, ["fingerprint"], "finding").select("fingerprint", "finding")
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -30,21 +36,42 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return rows.select("rule_id", "level", "rule_name", "masked", "severity", F.col("l.file").alias("uri"), F.greatest("l.line", F.lit(1)).alias("line"), F.concat("fingerprint", F.lit(":"), "l.file").alias("partial_fingerprint"))
 
 
+def hidden(value, secrets: list[str]):
+    """A value with every full secret in its texts replaced, longest first, as it is or as JSON writes it."""
+    forms = {f: s for s in secrets if len(s) >= HIDE_FROM for f in (s, json.dumps(s)[1:-1], json.dumps(s, ensure_ascii=False)[1:-1])}
+    if not forms:
+        return value
+    pattern = re.compile("|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f))))
+
+    def walk(v):
+        if isinstance(v, str):
+            return pattern.sub(lambda m: f"[REDACTED:{fingerprint(forms[m.group()])}]", v)
+        if isinstance(v, dict):
+            return {k: walk(x) for k, x in v.items()}
+        return [*map(walk, v)] if isinstance(v, list) else v
+
+    return walk(value)
+
+
 def collected(findings: DataFrame, most: int | None = None) -> list[dict]:
-    """Findings in order on the driver, for a report; findings are few where texts are many. With `most` only the first."""
-    rows = F_.ordered(F_.public(findings))
-    return [r.asDict(recursive=True) for r in (rows.limit(most) if most else rows).toLocalIterator()]
+    """Findings in order on the driver, for a report, none with a secret in any field. With `most` only the first; the whole is in `json_rows` and `sarif_results`."""
+    rows = F_.ordered(findings)
+    rows = [r.asDict(recursive=True) for r in (rows.limit(most) if most else rows).toLocalIterator()]
+    secrets = [r.pop("secret") for r in rows]
+    return hidden(rows, secrets)
 
 
 def counts(rows: list[dict]) -> dict[str, int]:
     return {s: sum(r["severity"] == s for r in rows) for s in LEVELS}
 
 
-def as_json(rows: list[dict]) -> str:
-    return json.dumps({"summary": {"findings": len(rows), **counts(rows)}, "findings": rows}, ensure_ascii=False, indent=2)
+def as_json(rows: list[dict], about: dict | None = None) -> str:
+    """about: files, bytes, ignored and errors of the run, if they are known."""
+    return json.dumps({"summary": {"findings": len(rows), **counts(rows), **(about or {})}, "findings": rows}, ensure_ascii=False, indent=2)
 
 
-def as_sarif(rows: list[dict]) -> str:
+def as_sarif(rows: list[dict], about: dict | None = None, transcripts: list[tuple[str, str]] = ()) -> str:
+    """about: errors of the run become notifications. transcripts: (path, agent) that are committed and count as results."""
     own = {r.rule_id: r.severity for r in RULES}
     rules, results = {}, []
     for r in rows:
@@ -54,8 +81,13 @@ def as_sarif(rows: list[dict]) -> str:
         for at in r["locations"]:
             place = {"artifactLocation": {"uri": at["file"]}, "region": {"startLine": max(at["line"], 1)}}
             results.append({"ruleId": rule, "level": level, "message": {"text": f"{r['rule_name']} {r['masked']}"}, "locations": [{"physicalLocation": place}], "partialFingerprints": {"secret/v1": f"{r['fingerprint']}:{at['file']}"}})
-    driver = {"name": "keysieve", "rules": [*rules.values()]}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": driver}, "results": results}]}, ensure_ascii=False, indent=2)
+    for path, agent in transcripts:
+        rules["committed-transcript"] = {"id": "committed-transcript", "name": "Transcript of an agent in a repository", "defaultConfiguration": {"level": "error"}, "properties": {"security-severity": "5.0"}}
+        results.append({"ruleId": "committed-transcript", "level": "error", "message": {"text": f"A transcript of {agent} is committed: take it out of git and ignore it."}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": path}}}], "partialFingerprints": {"transcript/v1": path}})
+    run = {"tool": {"driver": {"name": "keysieve", "rules": [*rules.values()]}}, "results": results}
+    if errors := (about or {}).get("errors"):
+        run["invocations"] = [{"executionSuccessful": True, "toolExecutionNotifications": [{"level": "warning", "message": {"text": e}} for e in errors]}]
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, ensure_ascii=False, indent=2)
 
 
 def as_markdown(rows: list[dict]) -> str:
@@ -77,12 +109,22 @@ def as_text(rows: list[dict], verbose: bool = False) -> str:
 
 
 def as_html(rows: list[dict]) -> str:
-    """A page with its data as JSON, in which < > & are escaped, and a search box."""
+    """A page with its data as JSON, in which < > & are escaped: severities to choose from, a bar for each origin, a dot for each day, and a search box."""
     data = json.dumps(rows, ensure_ascii=False).replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
-    head = " ".join(f"<span class={s}>{n} {s}</span>" for s, n in counts(rows).items())
+    chips = " ".join(f"<button class=chip data-severity={s}>{n} {s}</button>" for s, n in counts(rows).items())
+    by_origin = {o: sum(o in r["origins"] for r in rows) for o, _ in F_.ORIGINS}
+    most = max([*by_origin.values(), 1])
+    bars = "".join(f"<tr><td>{text}<td><meter max={most} value={by_origin[o]}></meter> {by_origin[o]}" for o, text in F_.ORIGINS if by_origin[o])
+    days: dict[str, list[int]] = {}
+    for r in rows:
+        if re.match(r"\d{4}-\d\d-\d\d", r["first_seen"] or ""):
+            day = days.setdefault(r["first_seen"][:10], [0, 0])
+            day[0], day[1] = day[0] + 1, day[1] + r["occurrences"]
+    dots = "".join(f"<circle cx={20 + 30 * i} cy=20 r={5 + min(9.0, 2 * n**0.5):.1f}><title>{d}: {k} secrets, {n} places</title></circle>" for i, (d, (k, n)) in enumerate(sorted(days.items())))
+    timeline = f"<svg height=40 width={40 + 30 * len(days)}>{dots}</svg>" if days else ""
     body = "".join(f"<tr data-severity={r['severity']}><td>{r['severity']}<td>{html.escape(r['rule_name'] or '')}<td>{html.escape(r['masked'])}<td>{r['fingerprint']}<td>{html.escape(', '.join(r['origins']))}<td>{r['occurrences']}<td>{html.escape((r['first_seen'] or '')[:10])}" for r in rows)
-    script = "q.oninput=()=>document.querySelectorAll('tbody tr').forEach(r=>r.hidden=!r.textContent.toLowerCase().includes(q.value.toLowerCase()))"
-    return f"<!doctype html><meta charset=utf-8><title>Secrets</title><h1>{len(rows)} secrets</h1><p>{head}<p><input id=q placeholder=Search><table><thead><tr><th>Severity<th>Kind<th>Secret<th>Fingerprint<th>Origins<th>Places<th>First seen<tbody>{body}</table><script type=application/json id=data>{data}</script><script>{script}</script>\n"
+    script = "let s='';const f=()=>document.querySelectorAll('#rows tr').forEach(r=>r.hidden=(s&&r.dataset.severity!=s)||!r.textContent.toLowerCase().includes(q.value.toLowerCase()));q.oninput=f;document.querySelectorAll('.chip').forEach(c=>c.onclick=()=>{s=s==c.dataset.severity?'':c.dataset.severity;f()})"
+    return f"<!doctype html><meta charset=utf-8><title>Secrets</title><h1>{len(rows)} secrets</h1><p>{chips}<table>{bars}</table>{timeline}<p><input id=q placeholder=Search><table><thead><tr><th>Severity<th>Kind<th>Secret<th>Fingerprint<th>Origins<th>Places<th>First seen<tbody id=rows>{body}</table><script type=application/json id=data>{data}</script><script>{script}</script>\n"
 
 
 RENDER = {"text": as_text, "json": as_json, "markdown": as_markdown, "sarif": as_sarif, "html": as_html}
@@ -94,8 +136,23 @@ def render(findings: DataFrame, kind: str = "text") -> str:
     return RENDER[kind](collected(findings))
 
 
-def github_annotations(rows: list[dict]) -> list[str]:
-    return [f"::{'error' if r['severity_rank'] >= 3 else 'warning'} file={at['file']},line={max(at['line'], 1)}::{r['rule_name']} {r['masked']}" for r in rows for at in r["locations"]]
+def about(result) -> dict:
+    """Files, bytes, ignored and errors of a scan, for a report's summary."""
+    files = result.files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    return {"files": files["n"], "bytes": files["b"], "ignored": result.ignored, "errors": [f"{r['file']}: {r['message']}" for r in result.errors.collect()]}
+
+
+def github_annotations(rows: list[dict], transcripts: list[tuple[str, str]] = ()) -> list[str]:
+    found = [f"::{'error' if r['severity_rank'] >= 3 else 'warning'} file={at['file']},line={max(at['line'], 1)}::{r['rule_name']} {r['masked']}" for r in rows for at in r["locations"]]
+    return found + [f"::warning file={path}::a transcript of {agent} is committed" for path, agent in transcripts]
+
+
+def repo_markdown(rows: list[dict], transcripts: list[tuple[str, str]]) -> str:
+    """What a repository holds, for a job's summary."""
+    if not rows and not transcripts:
+        return "## keysieve\n\nNo transcripts and no secrets are committed.\n"
+    listed = [f"- `{path}` ({agent})" for path, agent in transcripts[:50]]
+    return "\n".join(["## keysieve", "", f"{len(transcripts)} transcripts and {len(rows)} secrets are committed. History keeps what is deleted: rotate the keys.", "", *listed, "", as_markdown(rows) if rows else ""])
 
 
 def fingerprint_of(column: str):

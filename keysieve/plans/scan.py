@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 from dataclasses import dataclass
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions import scalars
-from keysieve.operators import classify, context, detect, environment, findings, redact
-from keysieve.plans.rules import Rule
+from keysieve.operators import classify, context, detect, environment, findings
+from keysieve.plans.rules import RULES, Rule
 from keysieve.sources import files as sources
 from keysieve.sources.sqlite import SqliteRows
 
@@ -24,6 +25,12 @@ class ScanResult:
     documents: DataFrame
     hits: DataFrame
     errors: DataFrame
+    ignored_findings: DataFrame | None = None
+
+    @property
+    def ignored(self) -> int:
+        """How many findings an ignore list left out."""
+        return 0 if self.ignored_findings is None else self.ignored_findings.first()["ignored"]
 
     def summary(self) -> DataFrame:
         return findings.summary(self.findings, self.files, self.errors)
@@ -35,26 +42,32 @@ class ScanResult:
 
 
 def database_rows(spark: SparkSession, files: DataFrame) -> DataFrame | None:
-    """Records of the databases among files. Their paths come to the driver: a home folder has a few."""
+    """Records of the databases among files, each with the table it is in. Their paths come to the driver: a home folder has a few."""
     found = files.where("is_db").select("agent", "file").collect()
     if not found:
         return None
     spark.dataSource.register(SqliteRows)
     agents = spark.createDataFrame([(r["file"], r["agent"]) for r in found], "file string, agent string")
-    rows = spark.read.format("sqlite_rows").load(",".join(r["file"] for r in found))
-    return rows.join(F.broadcast(agents), "file").select("agent", "file", F.lit("jsonl").alias("kind"), "unit_no", "text")
+    rows = spark.read.format("sqlite_rows").option("paths", json.dumps([r["file"] for r in found])).load()
+    return rows.join(F.broadcast(agents), "file").select("agent", "file", F.lit("jsonl").alias("kind"), F.col("table").alias("part"), "unit_no", "text")
 
 
-def locate_hits(docs: DataFrame, rules: list[Rule] | None = None, values: dict[str, str] | None = None) -> DataFrame:
-    """Hits with location of documents (agent, file, kind, unit_no, text): found in raw text, decoded, and placed in their record."""
+def locate_records(docs: DataFrame, rules: list[Rule] | None = None, values: dict[str, str] | None = None) -> DataFrame:
+    """Hits with location of records (agent, file, kind, part, unit_no, text, first_line): found in raw text, decoded, and placed in their record."""
     found = detect.matches(docs.withColumn("line", F.col("text")), "text", rules, values)
     json_kind = F.col("kind") != "text"
     found = found.withColumn("secret", F.when(json_kind, scalars.json_fragment(F.col("secret"))).otherwise(F.col("secret")))
-    located = context.locate(found).join(sources.first_lines(docs), "file", "left")
+    located = context.locate(found)
     agent, line, first, file = F.col("agent"), F.col("line"), F.coalesce("first_line", "line"), F.col("file")
     number = F.when(F.col("kind") == "jsonl", F.col("unit_no")).otherwise(scalars.line_of(line, F.col("start")))
     place = findings.location(agent=agent, file=file, line=number, json_path=F.col("json_path"), session=context.session_of(agent, line, first, file), project=context.project_of(agent, line, first, file), timestamp=F.col("timestamp"), origin=F.col("origin"))
-    return located.select("ord", "rule_id", "severity_rank", "secret", "start", "end", "file", "unit_no", place.alias("location"))
+    return located.select("ord", "rule_id", "severity_rank", "secret", "start", "end", "file", "part", "unit_no", "unsure", place.alias("location"))
+
+
+def locate_hits(docs: DataFrame, rules: list[Rule] | None = None, values: dict[str, str] | None = None) -> DataFrame:
+    """Hits with location of documents (agent, file, kind, part, unit_no, text). Only records that can hold a secret are joined with their file's first."""
+    chosen = docs if values or {*(rules or ())} - {*RULES} else docs.where(detect.may_hold_secret(F.col("text")))
+    return locate_records(chosen.join(sources.first_lines(docs), "file", "left"), rules, values)
 
 
 def scan(spark: SparkSession, home: str | None = None, agents: list[str] | None = None, paths: list[str] | None = None, rules: list[Rule] | None = None, min_severity: str = "low", ignored: DataFrame | None = None, since: str | None = None, env: list[str] | None = None) -> ScanResult:
@@ -71,64 +84,32 @@ def scan(spark: SparkSession, home: str | None = None, agents: list[str] | None
     docs = sources.documents(files)
     if (rows := database_rows(spark, files)) is not None:
         docs = docs.unionByName(rows)
-    return _result(files, docs, locate_hits(docs, rules, values or None), min_severity, ignored)
+    return _result(files, docs, locate_hits(docs, rules, values or None), min_severity, ignored, rules)
 
 
-def _result(files: DataFrame, docs: DataFrame, hits: DataFrame, min_severity: str, ignored: DataFrame | None) -> ScanResult:
-    found = findings.at_least(findings.merge(hits), min_severity)
+def _result(files: DataFrame, docs: DataFrame, hits: DataFrame, min_severity: str, ignored: DataFrame | None, rules: list[Rule] | None = None) -> ScanResult:
+    found = findings.at_least(findings.merge(hits, rules), min_severity)
+    left_out = None
     if ignored is not None:
-        found = findings.without_ignored(found, ignored)
-    return ScanResult(found, files, docs, hits, sources.errors(files))
+        left_out, found = findings.ignored_count(found, ignored), findings.without_ignored(found, ignored)
+    return ScanResult(found, files, docs, hits, sources.errors(files), left_out)
 
 
-def scan_repo(spark: SparkSession, folder: str, all_files: bool = False, min_severity: str = "low", ignored: DataFrame | None = None) -> tuple[ScanResult, DataFrame]:
-    """Transcripts and settings that git tracks (with all_files everything), and (relpath, agent) of the transcripts."""
+def scan_repo(spark: SparkSession, folder: str, all_files: bool = False, min_severity: str = "low", ignored: DataFrame | None = None, files: list[str] | None = None) -> tuple[ScanResult, DataFrame]:
+    """Transcripts and settings that git tracks (with all_files everything; with files, relative paths, only those), and (relpath, agent) of the transcripts."""
     got = subprocess.run(["git", "-C", folder, "ls-files", "-z"], capture_output=True, timeout=120)
     if got.returncode:
         raise ValueError(got.stderr.decode(errors="replace").strip())
-    names = spark.createDataFrame([(n,) for n in got.stdout.decode().split("\0") if n], "relpath string")
+    tracked = [n for n in got.stdout.decode("utf-8", "replace").split("\0") if n and (files is None or n in files)]
+    names = spark.createDataFrame([(n,) for n in tracked], "relpath string")
     agent = F.coalesce(classify.transcript_agent(F.col("relpath")), F.when(classify.is_settings(F.col("relpath")), "config"), F.when(F.lit(all_files), "path"))
     chosen = names.withColumn("agent", agent).where("agent is not null")
     transcripts = chosen.where(~F.col("agent").isin("config", "path"))
-    rows = chosen.collect()
-    files = None
-    for r in rows:
-        part = sources.read_binary(spark, [f"{folder}/{r['relpath']}"], r["agent"])
-        files = part if files is None else files.unionByName(part)
-    if files is None:
-        files = spark.createDataFrame([], "agent string, file string, kind string, is_db boolean, modified timestamp, length long, content binary")
-    docs = sources.documents(files)
-    return _result(files, docs, locate_hits(docs), min_severity, ignored), transcripts
-
-
-def scrub(result: ScanResult, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(agent, file, unit_no, text, replacements) with secrets replaced where a record stays valid, and one row of status for each file.
-
-    Signed model thinking stays and is counted. Files are not changed in place: the caller writes the copies.
-    """
-    signed = redact.in_signed_block(F.col("location.json_path"))
-    targets = result.hits if only is None else result.hits.join(only.select("fingerprint"), scalars.fingerprint(F.col("secret")) == F.col("fingerprint"), "left_semi")
-    targets = targets.where(F.col("location.agent") != "config")
-    out = redact.redact(result.documents.withColumn("old", F.col("text")), targets.where(~signed).select("file", "unit_no", "rule_id", "secret", "start", "end"), ["file", "unit_no"])
-    fine = (F.col("kind") == "text") | redact.still_valid(F.col("old"), F.col("text"))
-    out = out.withColumn("text", F.when(fine, F.col("text")).otherwise(F.col("old"))).withColumn("replacements", F.when(fine, F.col("replacements")).otherwise(0)).drop("old")
-    status = out.groupBy("agent", "file").agg(F.sum("replacements").alias("replacements"))
-    kept = targets.where(signed).groupBy("file").agg(F.count("*").alias("signed"))
-    return out, status.join(kept, "file", "left").select("agent", "file", "replacements", F.coalesce("signed", F.lit(0)).alias("signed"))
-
-
-def doctor(result: ScanResult) -> DataFrame:
-    """check, state, text: what a scan says about a machine, as rows."""
-    f = result.findings
-    one = lambda name, bad, text: f.agg(F.lit(name).alias("check"), F.when(bad > 0, "warn").otherwise("ok").alias("state"), F.concat(bad.cast("string"), F.lit(f" {text}")).alias("text"))
-    checks = [
-        one("critical", F.count_if(F.col("severity") == "critical"), "critical secrets in logs"),
-        one("high", F.count_if(F.col("severity") == "high"), "high secrets in logs"),
-        one("prompts", F.count_if(F.array_contains("origins", "prompt")), "secrets pasted into prompts"),
-        one("settings", F.count_if(F.array_contains("origins", "config")), "secrets in settings"),
-        one("spread", F.count_if(F.col("sessions") > 1), "secrets in more than one session"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    paths: dict[str, list[str]] = {}
+    for r in chosen.toLocalIterator():
+        paths.setdefault(r["agent"], []).append(f"{folder}/{r['relpath']}")
+    read = spark.createDataFrame([], sources.FILES)
+    for agent_name, own in sorted(paths.items()):
+        read = read.unionByName(sources.read_binary(spark, own, agent_name))
+    docs = sources.documents(read)
+    return _result(read, docs, locate_hits(docs), min_severity, ignored), transcripts

@@ -45,7 +45,7 @@ def value_of(value):
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
 
     def partitions(self):
         out = []
@@ -68,11 +68,19 @@ class SqliteReader(DataSourceReader):
         elif part.table == "ItemTable":
             where = " WHERE key IN (" + ", ".join(f"'{k}'" for k in CURSOR_ITEMS) + ")"
         try:
-            rows = db.execute(f'SELECT * FROM "{quoted}"{where}')
+            statement = f'SELECT * FROM "{quoted}"{where}'
+            try:
+                rows = db.execute(f"{statement} ORDER BY rowid")
+            except sqlite3.Error:
+                rows = db.execute(statement)  # a table without row numbers
             names = [c[0] for c in rows.description]
             for n, row in enumerate(rows, 1):
-                record = {"table": part.table} | {k: v for k, v in zip(names, map(value_of, row)) if v is not None}
-                if where and isinstance(record.get("value"), dict):
+                record = {k: v for k, v in zip(names, map(value_of, row)) if v is not None}
+                if not where:
+                    record = {"table": part.table} | record
+                elif not record.get("value"):
+                    continue
+                elif isinstance(record["value"], dict):
                     record["value"] = {k: v for k, v in record["value"].items() if not k.endswith(DROPPED)}
                 yield part.path, part.table, n, json.dumps(record, ensure_ascii=False)
         except sqlite3.Error:
@@ -80,7 +88,7 @@ class SqliteReader(DataSourceReader):
 
 
 class SqliteRows(DataSource):
-    """spark.read.format("sqlite_rows").load("a.db,b.db"): file, table, unit_no, text. Unreadable tables are left out, the others read."""
+    """spark.read.format("sqlite_rows").load("a.db"), or option("paths", a JSON list).load(): file, table, unit_no, text. Unreadable tables are left out, the others read."""
 
     @classmethod
     def name(cls):

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+import json
 import os
+import platform
+import shutil
+import subprocess
+import time
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +17,8 @@ from pyspark.sql import functions as F
 
 from keysieve.functions import scalars
 from keysieve.operators import detect
+from keysieve.sources.files import AGENTS, IN_PROJECTS, NOT_WATCHED
+from keysieve.streaming.tail import SEARCH_EVERY, AgentLogs
 
 
 def new_secrets(texts: DataFrame, text: str = "text", baseline: DataFrame | None = None, rules=None) -> DataFrame:
@@ -51,6 +59,72 @@ def new_secrets_once(spark: SparkSession, path: str, text: str = "text", baselin
     return spark.read.schema("fingerprint string, rule_id string, masked string").parquet(f"{root}/out")
 
 
+def places(home: str, agents: list[str] | None = None, projects: list[str] | None = None) -> dict[str, list[str]]:
+    """Patterns of the watched agents' files under a home folder and in projects; databases are left out, as they are read whole."""
+    out = {}
+    for agent in agents or AGENTS:
+        if agent in NOT_WATCHED and agents is None or agent == "config":
+            continue
+        folders, patterns = AGENTS[agent]
+        roots = [f"{home.rstrip('/')}/{f}".rstrip("/") for f in folders] + ([*(projects or ())] if agent in IN_PROJECTS else [])
+        out[agent] = [f"{glob.escape(r)}/{p}" for r in roots for p in patterns if not p.endswith((".db", ".sqlite", ".vscdb"))]
+    return out
+
+
+def agent_logs(spark: SparkSession, where: dict[str, list[str]], since: str = "latest", search_seconds: float = SEARCH_EVERY) -> DataFrame:
+    """The stream of what agents write: lines appended to line files, other files whenever they change."""
+    spark.dataSource.register(AgentLogs)
+    return spark.readStream.format("agent_logs").options(places=json.dumps(where), search_seconds=str(search_seconds), **{"from": since}).load()
+
+
+def new_findings(logs: DataFrame, baseline: DataFrame | None = None, rules=None, ignored: DataFrame | None = None) -> DataFrame:
+    """A stream of agent_logs to its new secrets with their places, each once: fingerprint, rule_id, severity_rank, masked, location."""
+    from keysieve.plans.scan import locate_records
+
+    found = locate_records(logs, rules).withColumn("fingerprint", scalars.fingerprint(F.col("secret"))).withColumn("masked", scalars.mask(F.col("secret"))).drop("secret")
+    for known in (baseline, ignored):
+        if known is not None:
+            found = found.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    return found.dropDuplicates(["fingerprint"]).select("fingerprint", "rule_id", "severity_rank", "masked", "location")
+
+
+class Quiet:
+    """Files that got a new secret and wait until they have been still for some seconds; then they are redacted in place."""
+
+    def __init__(self, seconds: float, ignored: tuple[str, ...] = (), clock=time.time):
+        self.seconds, self.ignored, self.clock, self.waiting = seconds, ignored, clock, {}
+
+    def add(self, files: dict[str, str]) -> None:
+        """files: path to agent."""
+        now = self.clock()
+        self.waiting |= {f: (a, now) for f, a in files.items()}
+
+    def due(self) -> list[tuple[str, str, int]]:
+        """(file, status, replacements) of those whose time has come."""
+        from keysieve.plans.scrub import scrub_file
+
+        out = []
+        for path, (agent, hit) in [*self.waiting.items()]:
+            changed = os.stat(path).st_mtime if os.path.exists(path) else 0.0
+            if self.clock() - max(hit, changed) >= self.seconds:
+                del self.waiting[path]
+                status, count, _ = scrub_file(path, None, self.ignored, agent=agent, in_place=True)
+                out.append((path, status, count))
+        return out
+
+
+def notify(title: str, message: str) -> bool:
+    """A desktop notification, where the system has a command for one; nothing of the texts is run as code."""
+    commands = {"Darwin": ["osascript", "-e", "on run argv", "-e", "display notification (item 2 of argv) with title (item 1 of argv)", "-e", "end run"], "Linux": ["notify-send", "--urgency=critical", "--"]}
+    command = commands.get(platform.system())
+    if not command or not shutil.which(command[0]):
+        return False
+    try:
+        return subprocess.run([*command, title, message], capture_output=True, timeout=5).returncode == 0
+    except (OSError, subprocess.SubprocessError):
+        return False
+
+
 def quiet_files(last_hits: DataFrame, now, quiet_seconds: int = 90) -> DataFrame:
     """Files (file, last_hit, modified) that have been still long enough to be redacted."""
     return last_hits.where(F.unix_timestamp(now) - F.unix_timestamp(F.greatest("last_hit", "modified")) >= quiet_seconds)

@@ -291,8 +291,8 @@ def test_sqlite(spark, tmp_path):
     db.commit()
     db.close()
     spark.dataSource.register(SqliteRows)
-    rows = {(r["table"], r["unit_no"]): json.loads(r["text"]) for r in spark.read.format("sqlite_rows").load(f"{path},{tmp_path}/none.db").collect()}
-    assert rows == {("cursorDiskKV", 1): {"table": "cursorDiskKV", "key": "bubbleId:c:1", "value": {"type": 1, "text": "hi"}}, ("messages", 1): {"table": "messages", "id": 1, "body": [1, 2]}}
+    rows = {(r["table"], r["unit_no"]): json.loads(r["text"]) for r in spark.read.format("sqlite_rows").option("paths", json.dumps([str(path), f"{tmp_path}/none,x.db"])).load().collect()}
+    assert rows == {("cursorDiskKV", 1): {"key": "bubbleId:c:1", "value": {"type": 1, "text": "hi"}}, ("messages", 1): {"table": "messages", "id": 1, "body": [1, 2]}}
 
 
 def test_watch_reports_a_secret_once(spark, tmp_path):

@@ -1,12 +1,13 @@
 import json
 import os
 import subprocess
+import time
 
 import pytest
 
 from keysieve import cli
 from keysieve.functions import plain, sql
-from keysieve.plans import scan
+from keysieve.plans import doctor, scan, scrub
 from keysieve.plans.rules import RULES
 from maker import Maker
 
@@ -24,6 +25,8 @@ def home(tmp_path):
     notes = tmp_path / ".claude/plans/plan.md"
     notes.parent.mkdir()
     notes.write_text(f"first\nsecond {github}\n")
+    for path in (session, notes):  # in use for the next hour
+        os.utime(path, (time.time() + 3600,) * 2)
     return tmp_path, npm, github
 
 
@@ -33,11 +36,12 @@ def test_scan_and_scrub(spark, home):
     got = {r["fingerprint"]: [(a["line"], a["json_path"], a["origin"], a["session"]) for a in r["locations"]] for r in result.findings.collect()}
     assert got == {plain.fingerprint(npm): [(1, "message.content", "prompt", "abc"), (2, "message.content[0].thinking", "assistant", "abc")], plain.fingerprint(github): [(2, "", "other", "plan")]}
     assert result.summary().first()["files"] == 2 and {r["agent"]: r["files"] for r in result.per_agent().collect()}["claude"] == 2
-    out, status = scan.scrub(result)
+    out, status = scrub.scrub(result, include_active=True)
     assert {r["file"].rsplit("/", 1)[1]: (r["replacements"], r["signed"]) for r in status.collect()} == {"s1.jsonl": (1, 1), "plan.md": (1, 0)}
+    assert {r["status"] for r in scrub.scrub(result)[1].collect()} == {"active"}
     texts = [r["text"] for r in out.orderBy("file", "unit_no").collect()]
     assert sum(npm in t for t in texts) == 1 and all(json.loads(t) for t in texts if t.startswith("{"))
-    assert {r["check"]: r["state"] for r in scan.doctor(result).collect()}["critical"] == "warn"
+    assert {r["check"]: r["state"] for r in doctor.doctor(result).collect()} == {"logs": "ok", "leaks": "todo", "settings": "ok", "prompts": "todo", "spread": "ok"}
 
 
 def test_environment_files(spark, tmp_path):
@@ -109,7 +113,7 @@ def test_large_line_files(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_pattern_spans_whole(spark, tmp_path):
+def test_pattern_spans(spark, tmp_path):
     """Against brute force; documents of 3000 characters and more have spans too."""
     import re
 
@@ -117,7 +121,7 @@ def test_pattern_spans_whole(spark, tmp_path):
 
     texts = ["over the hill", "x the the y the z", None, "", " the ", "é😀 the end " * 700, "a the " * 20_000, "y" * 2999 + " the z"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, QUERIES["pattern_spans_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, QUERIES["pattern_spans"](spark, str(tmp_path)).collect()))
     assert got == [(i, n, m.start()) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(" the ", t or ""), 1)]
 
 
