@@ -106,7 +106,7 @@ def changed(settings: dict, groups: dict[str, dict]) -> dict:
     if not isinstance(hooks, dict) or not all(isinstance(g, list) for g in hooks.values()):
         raise ValueError("the settings' hooks are not of the known form")
     others = {event: [g for g in hooks.get(event, ()) if not ours(g)] for event in {**hooks, **groups}}
-    new = {event: kept + [groups[event]] * (event in groups) for event, kept in others.items()}
+    new = {event: kept + ([groups[event]] if event in groups else []) for event, kept in others.items()}
     new = {event: kept for event, kept in new.items() if kept or event not in hooks or not any(map(ours, hooks[event]))}
     out = {**settings, "hooks": new}
     if not new and "hooks" in out:

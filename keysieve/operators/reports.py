@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from keysieve.functions import scalars
 from keysieve.functions.plain import fingerprint
-from keysieve.operators import detect, redact
 from keysieve.operators import findings as F_
 from keysieve.operators.redact import HIDE_FROM
 from keysieve.plans.rules import RULES
@@ -21,10 +20,21 @@ LEVELS = {"critical": ("error", "9.5"), "high": ("error", "8.0"), "medium": ("wa
 
 
 def json_rows(findings: DataFrame) -> DataFrame:
-    """One JSON object for each finding. A secret that stands in what describes one (a folder's or session's name) is replaced too."""
+    """One JSON object for each finding. A secret that stands in what describes one (a folder's or session's name) is replaced too.
+
+    For that the different secrets (a finding each, however many hits it has) go to the driver and the workers.
+    """
+    secrets = [r["secret"] for r in findings.select("secret").distinct().toLocalIterator()]
+    shared = findings.sparkSession.sparkContext.broadcast(Hidden(secrets))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([*map(shared.value.text, batch.column(1).to_pylist())], pa.string())], names=["fingerprint", "finding"])
+
     rows = F_.public(findings).select("fingerprint", F.to_json(F.struct("rule_id", "rule_name", "provider", "severity", "masked", "fingerprint", "rotate_url", "agents", "origins", "sessions", "occurrences", "first_seen", "last_seen", "locations")).alias("finding"))
-    found = detect.matches(rows.withColumnRenamed("finding", "text"))
-    return redact.redact(rows, found, ["fingerprint"], "finding").select("fingerprint", "finding")
+    return rows.mapInArrow(run, "fingerprint string, finding string")
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -36,21 +46,34 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return rows.select("rule_id", "level", "rule_name", "masked", "severity", F.col("l.file").alias("uri"), F.greatest("l.line", F.lit(1)).alias("line"), F.concat("fingerprint", F.lit(":"), "l.file").alias("partial_fingerprint"))
 
 
-def hidden(value, secrets: list[str]):
-    """A value with every full secret in its texts replaced, longest first, as it is or as JSON writes it."""
-    forms = {f: s for s in secrets if len(s) >= HIDE_FROM for f in (s, json.dumps(s)[1:-1], json.dumps(s, ensure_ascii=False)[1:-1])}
-    if not forms:
-        return value
-    pattern = re.compile("|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f))))
-
-    def walk(v):
-        if isinstance(v, str):
-            return pattern.sub(lambda m: f"[REDACTED:{fingerprint(forms[m.group()])}]", v)
-        if isinstance(v, dict):
-            return {k: walk(x) for k, x in v.items()}
-        return [*map(walk, v)] if isinstance(v, list) else v
-
-    return walk(value)
+class Hidden:
+    """Texts without any of some full secrets, as they are or as JSON writes them; the longest that starts at a place is replaced."""
+
+    def __init__(self, secrets: list[str]):
+        self.forms: dict[str, list[tuple[str, str]]] = {}
+        for form, secret in {f: s for s in secrets if len(s) >= HIDE_FROM for f in (s, json.dumps(s)[1:-1], json.dumps(s, ensure_ascii=False)[1:-1])}.items():
+            self.forms.setdefault(form[:HIDE_FROM], []).append((form, f"[REDACTED:{fingerprint(secret)}]"))
+        for forms in self.forms.values():
+            forms.sort(key=lambda f: -len(f[0]))
+
+    def text(self, text: str) -> str:
+        out, last, at = [], 0, 0
+        while at + HIDE_FROM <= len(text):
+            found = next((f for f in self.forms.get(text[at : at + HIDE_FROM], ()) if text.startswith(f[0], at)), None)
+            if found:
+                out += [text[last:at], found[1]]
+                at = last = at + len(found[0])
+            else:
+                at += 1
+        return "".join([*out, text[last:]])
+
+    def value(self, value):
+        """A value of lists and dictionaries with every text in it."""
+        if isinstance(value, str):
+            return self.text(value)
+        if isinstance(value, dict):
+            return {k: self.value(x) for k, x in value.items()}
+        return [*map(self.value, value)] if isinstance(value, list) else value
 
 
 def collected(findings: DataFrame, most: int | None = None) -> list[dict]:
@@ -58,7 +81,7 @@ def collected(findings: DataFrame, most: int | None = None) -> list[dict]:
     rows = F_.ordered(findings)
     rows = [r.asDict(recursive=True) for r in (rows.limit(most) if most else rows).toLocalIterator()]
     secrets = [r.pop("secret") for r in rows]
-    return hidden(rows, secrets)
+    return Hidden(secrets).value(rows)
 
 
 def counts(rows: list[dict]) -> dict[str, int]:

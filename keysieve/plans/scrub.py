@@ -174,7 +174,7 @@ def scrub_file(path: str, fingerprints: Iterable[str] | None = None, ignored: It
         done = [redacted(r, detector(rules, values).find, lambda p: p not in skipped and (wanted is None or p in wanted), "json" if kind == "jsonl" else kind, agent, path) for r in records]
         count, signed, broken = (sum(getattr(d, name) for d in done) for name in ("replacements", "signed", "broken"))
         if not count:
-            return "signed" if signed else "failed: no longer valid JSON" if broken else "settings" if agent in NOT_SCRUBBABLE else "not found again", 0, signed
+            return "settings" if agent in NOT_SCRUBBABLE else "signed" if signed else "failed: no longer valid JSON" if broken else "not found again", 0, signed
         now = os.stat(path)
         if (now.st_size, now.st_mtime_ns) != (before.st_size, before.st_mtime_ns):
             return "failed: changed since the scan", 0, signed
