@@ -73,7 +73,8 @@ class LineRuns:
 
     def _write(self, run: DataFrame) -> str:
         name = f"keysieve_run_{uuid.uuid4().hex}"
-        writer = run.write.format("parquet").bucketBy(self.buckets, "line").sortBy("line")
+        # Hashes can't be compressed.
+        writer = run.write.format("parquet").option("compression", "uncompressed").bucketBy(self.buckets, "line").sortBy("line")
         writer.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
@@ -118,15 +119,12 @@ class LineRuns:
     def add_lines(self, lines: DataFrame) -> None:
         """Adds the run of a batch's document lines, then merges full levels upwards."""
         keys = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        own = self._write(keys)
         with settings(self.spark, AS_STORED):
             if self._runs():
-                batch = self.spark.table(own)
-                keepers = self.unknown(batch).select("line", "last_doc")
-                run = self._write(batch.drop("last_doc").join(keepers, "line", "left"))
-                self._drop([own])
-                own = run
-            self.levels[0].append(own)
+                # Divided by hash once, like the runs, and taken from there for both joins.
+                keepers = self.unknown(keys).select("line", "last_doc")
+                keys = keys.drop("last_doc").join(keepers, "line", "left")
+            self.levels[0].append(self._write(keys))
             for level, names in enumerate(self.levels):
                 if len(names) >= self.fanout:
                     if level + 1 == len(self.levels):
