@@ -10,12 +10,13 @@ it. A window of `width` words has an anchor, the smallest hash of the word grams
 windows have equal anchors; windows whose anchor is in one document only are done. The others are cut
 into pieces, maximal runs of windows with one anchor, and a shard is all pieces of an anchor.
 
-Copies of whole documents are decided first, by the hash of their text: all their windows are in the smallest doc_id
+Copies of whole documents are left out first, by the hash of their text: all their windows are in the smallest doc_id
 that has it, and only that one goes on.
 
-Shards stay small whatever the data: pieces with equal words meet once for each batch of pieces, as
-all but the smallest doc_id among them are decided there; anchors in many documents are divided further,
-one window a piece and one shard a window.
+What else is removed is what the automata say. A worker sends a piece on once, with all its documents that it has
+seen; the shard takes pieces by their smallest doc_id, reads its statistics against what smaller ones hold,
+adds it, and reads them again for the others. Shards stay small whatever the data: anchors in many documents are
+divided further, one window a piece and one shard a window.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ GRAM = 4
 COMMON = 500
 #: Different pieces that a worker holds before it sends them on.
 PIECES = 30_000
+#: A text in more than one of so many rows is hot.
+HOT = 10_000
 
 
 class SuffixAutomaton:
@@ -134,40 +137,41 @@ def anchors_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def copies_of(known: DataFrame) -> DataFrame:
-    """(doc_id, copied): the text_keys of rows whose whole text a smaller doc_id has too."""
-    digests = known.where("text is not null").select("doc_id", "text_key", F.md5("text").alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return digests.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_key").alias("copied"))
+    """(doc_id, copied): the text_keys of rows whose whole text a smaller doc_id has too.
+
+    Texts with more than a `HOT`th of all rows are at most that many, so they are broadcast; no other is held by many rows.
+    """
+    digests = cut(known.where("text is not null").select("doc_id", "text_key", F.unhex(F.md5("text")).alias("digest")), "digests")
+    firsts = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "firsts")
+    many = F.col("n") * HOT > digests.count()
+    hot, cold = F.broadcast(firsts.where(many).drop("n")), firsts.where(~many).drop("n")
+    found = digests.join(hot, "digest").unionByName(digests.join(hot, "digest", "left_anti").join(cold, "digest"))
+    return found.where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_key").alias("copied"))
 
 
 def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
-    """Pieces of (doc_id, text_key, text, shared anchors, common anchors, copy): route, doc_id, text_key, starts, piece; without piece, spans that are decided already."""
-    names, most = ["route", "doc_id", "text_key", "starts", "piece"], PIECES
+    """Pieces of (doc_id, text_key, text, shared anchors, common anchors, copy): route, piece, first (its smallest doc_id here), and at: the places of each (doc_id, text_key), that of first before others."""
+    names, most = ["route", "first", "piece", "at"], PIECES
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
+        place = pa.struct([("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.list_(pa.int32()))])
+
         def rows_of(seen):
-            out: list[list] = [[] for _ in names]
-            decided: dict[tuple[int, int], list[int]] = {}
-            for (route, piece), places in seen.items():
-                first = min(doc_id for doc_id, _ in places)
-                for (doc_id, key), starts in places.items():
-                    if doc_id > first:
-                        n = piece.count(b" ") + 1
-                        decided.setdefault((doc_id, key), []).extend(x for s in starts for x in (s, s + n))
-                    else:
-                        for column, value in zip(out, (route, doc_id, key, starts, piece)):
-                            column.append(value)
-            for (doc_id, key), spans in decided.items():
-                for column, value in zip(out, (xxhash.xxh32_intdigest(f"{doc_id}", 9) >> 1, doc_id, key, spans, None)):
-                    column.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array(out[4], pa.binary()).cast(pa.string())], names=names)
+            firsts, places = [], []
+            for at in seen.values():
+                own = sorted(at.items())
+                firsts.append(own[0][0][0])
+                places.append([{"doc_id": d, "text_key": k, "starts": starts} for (d, k), starts in own])
+            routes = pa.array([route for route, _ in seen], pa.int32())
+            pieces = pa.array([piece for _, piece in seen], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([routes, pa.array(firsts, pa.int64()), pieces, pa.array(places, pa.list_(place))], names=names)
 
         seen: dict[tuple[int, bytes], dict[tuple[int, int], list[int]]] = {}
+        held = 0
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4), batch.column(5).to_pylist())
             for doc_id, key, text, shared, common, copy in rows:
@@ -182,49 +186,62 @@ def pieces_of(candidates: DataFrame, width: int) -> DataFrame:
                     if ours[start]:
                         piece = b" ".join(words[start : end + width - 1])
                         seen.setdefault((int(anchors[start]) & 0x7FFFFFFF, piece), {}).setdefault((doc_id, key), []).append(int(start))
+                        held += 1
                 for start in np.flatnonzero(often).tolist():
                     piece = b" ".join(words[start : start + width])
                     seen.setdefault((xxhash.xxh32_intdigest(piece, 7) >> 1, piece), {}).setdefault((doc_id, key), []).append(start)
-                if len(seen) > most:
+                    held += 1
+                if len(seen) > most or held > 8 * most:
                     yield rows_of(seen)
-                    seen = {}
+                    seen, held = {}, 0
         if seen:
             yield rows_of(seen)
 
-    return candidates.mapInArrow(run, "route int, doc_id long, text_key long, starts array<int>, piece string")
+    return candidates.mapInArrow(run, "route int, first long, piece string, at array<struct<doc_id:bigint,text_key:bigint,starts:array<int>>>")
 
 
 def matched(pieces: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, spans) of pieces sorted by route and doc_id: each shard's automaton in turn, then forgotten."""
+    """(doc_id, text_key, spans) of pieces sorted by route and first: each shard's automaton in turn, then forgotten."""
 
     def run(batches):
         import pyarrow as pa
 
-        route, automaton, held, doc, waiting = None, None, set(), None, []
+        def learn():
+            """The automaton takes the pieces of the document that is through, and says what it now holds of them for their other documents."""
+            for words, known, _ in waiting:
+                if not known:
+                    automaton.add(words)
+            for words, _, others in waiting:
+                if others:
+                    emit(others, spans_of(automaton.statistics(words), width))
+
+        def emit(places, own):
+            for place in places if own else ():
+                for column, value in zip(out, (place["doc_id"], place["text_key"], [s + x for s in place["starts"] for x in own])):
+                    column.append(value)
+
+        def done():
+            batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "text_key", "spans"])
+            for column in out:
+                column.clear()
+            return batch
+
+        route, automaton, doc, waiting = None, None, None, []
+        out: list[list] = [[], [], []]
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for r, doc_id, key, starts, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if piece is None:
-                    spans = starts
-                else:
-                    if r != route:
-                        route, automaton, held, doc, waiting = r, SuffixAutomaton(), set(), None, []
-                    if doc_id != doc:
-                        for words, whole in waiting:
-                            automaton.add(words)
-                            held.add(whole)
-                        doc, waiting = doc_id, []
-                    words = piece.split(" ")
-                    if piece in held:
-                        own = [0, len(words)]
-                    else:
-                        own = spans_of(automaton.statistics(words), width) if held else []
-                        waiting.append((words, piece))
-                    spans = [s + x for s in starts for x in own]
-                if spans:
-                    for column, value in zip(out, (doc_id, key, spans)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], names=["doc_id", "text_key", "spans"])
+            for r, first, piece, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if r != route or first != doc:
+                    learn()
+                    waiting, doc = [], first
+                if r != route:
+                    route, automaton = r, SuffixAutomaton()
+                words, places = piece.split(" "), at.as_py()
+                statistics = automaton.statistics(words) if len(automaton.next) > 1 else [0]
+                emit([p for p in places if p["doc_id"] == first], spans_of(statistics, width))
+                waiting.append((words, statistics[-1] == len(words), [p for p in places if p["doc_id"] != first]))
+            yield done()
+        learn()
+        yield done()
 
     return pieces.mapInArrow(run, "doc_id long, text_key long, spans array<int>")
 
@@ -247,7 +264,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 13, texts
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > COMMON).alias("common"))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("common"), F.col("anchor"))).alias("shared"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("often"))
     candidates = marked.join(wanted, "doc_id").select("doc_id", "text_key", "text", "shared", "often", "copy")
-    pieces = pieces_of(candidates, width).repartition("route").sortWithinPartitions("route", "doc_id")
+    pieces = pieces_of(candidates, width).repartition("route").sortWithinPartitions("route", "first")
     spans = matched(pieces, width).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias("found"))
     joined = marked.join(spans, "doc_id", "left").unionByName(rows.where("doc_id is null").withColumns({"copy": F.lit(False), "found": F.lit(None).cast("array<struct<text_key:bigint,spans:array<int>>>")}))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if texts else "")
