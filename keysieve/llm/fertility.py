@@ -1,12 +1,14 @@
 """Quality rules with tokeniser fertility.
 
-A public vocabulary is made for ordinary text, so how it divides a text tells ordinary from odd: characters per token,
-the share of tokens that are fragments of a character (byte fallback), the share of tokens of marks (no letter or digit, nor
-a fragment of one), and the entropy of tokens. Each script has its own bands, as a vocabulary knows some languages better than others.
+A public vocabulary is made for ordinary text, so how it divides a text tells ordinary from odd. Three are used, each for what
+it measures well: a byte-level one made for many languages for characters per token, one of pieces with byte fallback for the share of
+tokens that are bare bytes, and a byte-level one made for one language for the entropy of tokens and the share of marks
+(tokens without letter or digit, and fragments of symbols). Each script has its own bands.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import unicodedata
 from dataclasses import dataclass
@@ -14,33 +16,35 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm.byte_bpe import encoder, vocabulary
+from keysieve.llm.byte_bpe import PATTERN
+
+#: Files of the three vocabularies where the public ones are installed: for entropy and marks, for characters per token, and for bare bytes.
+FILES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
 
 
 @dataclass(frozen=True)
 class Band:
-    """Limits for one script: characters per token, largest shares of byte fallback and of marks (tokens without letter or digit; fragments count by their character), least entropy as a share of that of equally many different tokens."""
+    """Limits for one script: characters per token, largest shares of bare bytes and of marks, least entropy as a share of that of equally many different tokens."""
 
     least_chars: float
     most_chars: float
-    most_fallback: float
+    most_bytes: float
     most_marks: float
     least_entropy: float
 
 
-#: By script; "ascii" is text with hardly any other characters. The mark bands of ascii and latin are measured (README). For indic,
-#: cjk and other no limit of fallback is set: this vocabulary divides ordinary Georgian, Tamil or Korean into fragments alone.
+#: By script; "ascii" is text with hardly any other characters. What they are measured on is in the README.
 BANDS = {
-    "ascii": Band(1.55, 8.0, 0.02, 0.18, 0.35),
-    "latin": Band(1.25, 8.0, 0.2, 0.18, 0.35),
-    "greek": Band(0.7, 6.0, 0.6, 0.25, 0.3),
-    "cyrillic": Band(0.7, 6.0, 0.6, 0.25, 0.3),
-    "arabic": Band(0.6, 6.0, 0.7, 0.25, 0.3),
-    "indic": Band(0.2, 6.0, 1.0, 0.3, 0.25),
-    "cjk": Band(0.25, 6.0, 1.0, 0.3, 0.25),
-    "other": Band(0.2, 8.0, 1.0, 0.3, 0.25),
+    "ascii": Band(1.7, 8.0, 0.02, 0.18, 0.35),
+    "latin": Band(1.7, 8.0, 0.15, 0.18, 0.35),
+    "greek": Band(1.0, 6.0, 0.1, 0.25, 0.3),
+    "cyrillic": Band(1.2, 6.0, 0.1, 0.25, 0.3),
+    "arabic": Band(0.8, 6.0, 0.1, 0.25, 0.3),
+    "indic": Band(0.4, 6.0, 0.4, 0.3, 0.25),
+    "cjk": Band(0.5, 6.0, 0.4, 0.3, 0.25),
+    "other": Band(0.3, 8.0, 0.4, 0.3, 0.25),
 }
-#: Texts with fewer tokens are not judged by entropy.
+#: In fewer tokens than this nearly all differ, so their entropy says nothing (of n different tokens it is 1 by definition).
 SHORT = 40
 
 
@@ -95,51 +99,79 @@ def symbol_share(word: str) -> float:
     return symbols / total if total else 0.0
 
 
+def vocabularies(paths: tuple[str, ...] | None = None) -> tuple[bytes, ...]:
+    """Contents of the three files, read on the driver; their paths are the caller's, by default those of the installed public ones."""
+    if paths is None:
+        import public_tokenizers
+
+        paths = tuple(map(public_tokenizers.path, FILES))
+    out = []
+    for path in paths:
+        with open(path, "rb") as file:
+            out.append(file.read())
+    return tuple(out)
+
+
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    """A file of base64 tokens and their ranks."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+
+
 class Fertility:
-    """Characters per token, share of byte fallback and relative entropy of texts, words remembered."""
+    """Measures of texts by the three vocabularies; words are remembered."""
 
-    def __init__(self, content: str, memory: int = 300_000):
+    def __init__(self, contents: tuple[bytes, ...], memory: int = 300_000):
         import numpy as np
-
-        self.bpe, self.memory, self.words, self.symbols = encoder(content), memory, {}, {}
-        self.fallback = np.zeros(max(self.bpe.token) + 1, bool)
-        self.marks = np.zeros(len(self.fallback), bool)
-        for i, token in self.bpe.token.items():
+        import sentencepiece
+        import tiktoken
+
+        own, many = map(ranks_of, contents[:2])
+        encoding = lambda name, ranks: tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.own, self.many = encoding("own", own), encoding("many", many)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=contents[2])
+        self.bare = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
+        self.memory, self.words, self.counts, self.symbols = memory, {}, {}, {}
+        self.fragments = np.zeros(max(own.values()) + 1, bool)
+        self.marks = np.zeros(len(self.fragments), bool)
+        for token, i in own.items():
             try:
                 self.marks[i] = not any(c.isalnum() for c in token.decode())
             except UnicodeDecodeError:
-                self.fallback[i] = True
+                self.fragments[i] = True
 
-    def measure(self, words: list[bytes]) -> tuple[int, float, float, float]:
-        """Tokens, share of byte fallback, share of marks, entropy divided by that of as many different tokens."""
+    def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float, float]:
+        """Tokens, characters per token, share of bare bytes, share of marks, entropy divided by that of as many different tokens."""
         import numpy as np
 
+        if not words:
+            return 0, 0.0, 0.0, 0.0, 1.0
         known = self.words
         if len(known) > self.memory:
-            known.clear()
-            self.symbols.clear()
+            for table in (known, self.counts, self.symbols):
+                table.clear()
         for word in {*words}.difference(known):
             text = word.decode("utf-8", "replace")
-            known[word] = self.bpe.plain(" " + text)
+            ids = np.array(self.own(" " + text), "<u4")
+            known[word], self.counts[word] = ids.tobytes(), len(self.many(" " + text))
             if not word.isascii() and (share := symbol_share(text)):
-                self.symbols[word] = share * int(self.fallback[np.frombuffer(known[word], "<u4")].sum())
+                self.symbols[word] = share * int(self.fragments[ids].sum())
         ids = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        if not len(ids):
-            return 0, 0.0, 0.0, 1.0
         share = np.unique(ids, return_counts=True)[1] / len(ids)
         entropy = float(-(share * np.log2(share)).sum())
         marks = (int(self.marks[ids].sum()) + sum(self.symbols[w] for w in words if w in self.symbols)) / len(ids)
-        return len(ids), float(self.fallback[ids].mean()), marks, entropy / math.log2(len(ids)) if len(ids) > 1 else 1.0
+        bare = self.bare[self.pieces.encode(b" ".join(words).decode("utf-8", "replace"))]
+        return len(ids), chars / sum(map(self.counts.__getitem__, words)), float(bare.mean()) if len(bare) else 0.0, marks, entropy / math.log2(len(ids)) if len(ids) > 1 else 1.0
 
 
-def rate(spark: SparkSession, docs: DataFrame, path: str | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
+def rate(spark: SparkSession, docs: DataFrame, paths: tuple[str, ...] | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, chars_per_token, fallback_share, mark_share and entropy_share for each row of docs.
 
     A text is kept if it passes the base rules (20 words, at most 30 % of them in repeated windows) and lies in its
     script's bands. Null and empty texts have no words and fail. Rows that share a doc_id each get a row; other
-    columns are ignored; an empty table gives an empty result. The vocabulary is the only broadcast.
+    columns are ignored; an empty table gives an empty result. Very long texts and words are measured whole, one text at a
+    time. The vocabularies (3 MB, fixed) are the only broadcast.
     """
-    shared = spark.sparkContext.broadcast(vocabulary(path))
+    shared = spark.sparkContext.broadcast(vocabularies(paths))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "fallback_share", "mark_share", "entropy_share"]
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, fallback_share double, mark_share double, entropy_share double"
 
@@ -160,9 +192,9 @@ def rate(spark: SparkSession, docs: DataFrame, path: str | None = None, bands: d
                 repeats = repeated_words(words)
                 failed = len(words) < 20 or 100 * repeats > 30 * len(words)
                 script = script_of(lead)
-                tokens, fallback, marks, entropy = fertility.measure(words)
-                per_token, band = chars / max(tokens, 1), bands[script]
-                fits = band.least_chars <= per_token <= band.most_chars and fallback <= band.most_fallback and marks <= band.most_marks and (tokens < SHORT or entropy >= band.least_entropy)
+                tokens, per_token, fallback, marks, entropy = fertility.measure(words, chars)
+                band = bands[script]
+                fits = band.least_chars <= per_token <= band.most_chars and fallback <= band.most_bytes and marks <= band.most_marks and (tokens < SHORT or entropy >= band.least_entropy)
                 for column, value in zip(out, (len(words), chars, int(lead[symbols].sum()), duplicate_lines(text), repeats, failed, not failed and fits, script, per_token, fallback, marks, entropy)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out)], names=names)
