@@ -54,7 +54,10 @@ class TermAutomaton:
                         self.stem.append(False)
                     node = self.edges[node][c]
                 marks[node] = True
-        self.fuzzy = {len(w) for w in terms if len(w) >= FUZZY_FROM}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the states that words have needed so far."""
         start = self._closed({(0, 0)})
         self.ids, self.states, self.steps = {start: 0}, [start], [{}]
 
@@ -134,6 +137,7 @@ class Matcher:
         words = (text or b"").split()
         if len(self.known) > self.memory:
             self.known.clear()
+            self.automaton.forget()
         known = self.known
         for word in {*words}.difference(known):
             known[word] = self._kind(word)
@@ -203,9 +207,8 @@ def _lexicon(sample: DataFrame, toxic: int, clean: int) -> tuple[list[str], list
     own = {w[:n] for w in words for n in STEMS}
     shortest = [s for s in sorted(stems) if not any(s[:n] in stems for n in range(min(STEMS), len(s)))]
     alone = {s: sum(w.startswith(s) for w in words) for s in shortest}
-    # A beginning that stands for one known word only is that word; others are stems, and cover the words that begin so.
-    kept = [s for s in shortest if not (s in own and alone[s] == 1)]
-    return [w for w in words if not any(w.startswith(s) for s in kept)], kept
+    # A beginning that stands for one known word only is that word; others are stems. Words that begin so stay terms too, so a misspelled beginning is found.
+    return words, [s for s in shortest if not (s in own and alone[s] == 1)]
 
 
 def _fit(xs: list[float], ys: list[int]) -> tuple[float, float]:
@@ -255,7 +258,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     Null and empty texts have no terms and get the score of that. Labels that are null, and those of no document, are
     ignored; of several for a doc_id the largest counts. Without labels of both kinds there is no lexicon and every row
-    gets their share as its score (one half without any). Only text is scored; a column score in docs is replaced. An empty table gives an
+    gets their share as its score (one half without any). Repeated rows each get a row with equal scores; very long texts are
+    scored whole. Only text is scored; a column score in docs is replaced. An empty table gives an
     empty result. The lexicon that is broadcast comes from the bounded sample.
     """
     keep = [c for c in keep or docs.columns if c != "score"]
