@@ -50,14 +50,20 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b) with a < b over distinct fingerprints: neighbours within each group of equal ball values, verified.
+    """(a, b) with a < b over distinct fingerprints that connect all within the radius (0, 1 or 2), verified.
 
-    All members of a group lie within half the radius of one value, so a chain through the sorted members connects them.
+    Radius 2: all members of a group of equal ball values lie within one bit of it, so any two differ in two at most, and a
+    chain through the sorted members connects them. Radius 1: the one-bit neighbours meet the fingerprints themselves.
     """
-    if radius not in (0, 1, 2, 3):
-        raise ValueError("radius must be from 0 to 3")
+    if radius not in (0, 1, 2):
+        raise ValueError("radius must be 0, 1 or 2")
+    if not radius:
+        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     flips = [F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long")) for b in range(BITS)]
-    ball = nodes.select("fp", F.explode(F.array(F.col("fp"), *(flips if radius > 1 else []))).alias("value")) if radius else nodes.select("fp", F.col("fp").alias("value"))
+    if radius == 1:
+        ball = nodes.select(F.col("fp").alias("a"), F.explode(F.array(*flips)).alias("b")).where("a < b")
+        return ball.join(nodes.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
+    ball = nodes.select("fp", F.explode(F.array(F.col("fp"), *flips)).alias("value"))
     before = F.lag("fp").over(Window.partitionBy("value").orderBy("fp"))
     pairs = ball.select(before.alias("a"), F.col("fp").alias("b")).where("a is not null")
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
@@ -97,7 +103,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 3, radius
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row of docs.
 
     Rows that share a doc_id each get a row. A null doc_id takes part; it counts as larger than any other, so a
-    component of such rows alone has component_id null. Columns other than doc_id and text are ignored; an empty table
+    component of such rows alone has component_id null. Very long texts are hashed whole, in blocks. Columns other than doc_id and text are ignored; an empty table
     gives an empty result.
     """
     prints, nodes = rooted(docs, width, radius)

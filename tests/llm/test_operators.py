@@ -131,8 +131,20 @@ def test_line_runs_are_the_way(spark, odd, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_lines(odd[1])
     assert len(merges) >= 7 and merges[-1] >= 1
     joined, merged = [p for p in plans if "LeftAnti" in p], [p for p in plans if "FullOuter" in p]
-    assert len(plans) == len(merges) + len(joined) + len(merged) and len(joined) == len(merges) - 1 and len(merged) > merges[-1]
-    assert not any("Exchange" in p or "Sort [" in p for p in joined + merged)
+    assert len(plans) == len(merges) + len(merged) and len(joined) == len(merges) - 1 and len(merged) > merges[-1]
+    for plan in joined + merged:
+        steps = plan.split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in steps]
+        scans = [i for i, x in enumerate(steps) if "FileScan" in x and "keysieve_run" in x]
+        assert scans and all("Bucketed: true" in steps[i] for i in scans)
+        for i in scans:
+            above, level = [], depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < level:
+                    above, level = [*above, steps[j]], depth[j]
+                if "SortMergeJoin" in steps[j] and depth[j] <= level:
+                    break
+            assert not any("Exchange" in x or "Sort [" in x for x in above)
     monkeypatch.setattr(line_dedup.LineRuns, "unknown", lambda self, keys: keys.limit(0))
     lost = line_dedup.line_dedup(spark, odd[0]).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("d")).collect()
     assert sorted(map(tuple, lost), key=repr) != brute_lines(odd[1])
@@ -259,6 +271,76 @@ def test_term_automaton():
     assert toxicity.normal("gr.ub-k1n!!") == "grubkin"
 
 
+def within_one(a, b):
+    """Whether one edit at most turns a into b."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def slow_kind(word, terms, stems):
+    if word in terms or any(word.startswith(s) for s in stems):
+        return 1
+    return 2 if len(word) >= toxicity.FUZZY_FROM and any(within_one(word, t) for t in terms) else 0
+
+
+def test_term_automaton_against_edit_distance():
+    rng = random.Random(12)
+    some = lambda lo, hi: "".join(rng.choices("abcü", k=rng.randint(lo, hi)))
+    for _ in range(30):
+        terms, stems = [some(3, 8) for _ in range(12)], [some(4, 5) for _ in range(2)]
+        automaton = toxicity.TermAutomaton(terms, stems)
+        words = [some(0, 9) for _ in range(200)] + [t[:i] + c + t[i + d :] for t in terms for i in range(len(t) + 1) for c in ("", "b", "z") for d in (0, 1)]
+        assert [automaton.kind(w) for w in words] == [slow_kind(w, terms, stems) for w in words]
+        automaton.forget()
+        assert automaton.kind(terms[0]) == 1
+
+
+def slow_weight(text, model):
+    words, out = WORD.findall(text or ""), 0.0
+    bare = [w.rstrip(".,;:!?") for w in words]
+    closes = [bool(b) and b[-1] in toxicity.CLOSING for b in bare]
+    for i, word in enumerate(words):
+        own = toxicity.normal(word)
+        kind = slow_kind(own, model.terms, model.stems)
+        if kind == 2 and own in model.harmless or not kind:
+            continue
+        opening = [j for j in range(max(0, i - toxicity.WINDOW), i + 1) if words[j][0] in toxicity.OPENING]
+        closed_since = opening and any(closes[j] for j in range(opening[-1] + 1, i))
+        closed_at = opening and opening[-1] < i and closes[opening[-1]]
+        quoted = bool(opening) and not closed_since and not closed_at and any(closes[i : i + toxicity.WINDOW + 1])
+        out += (0.25 if quoted else 1.0) * (0.6 if kind == 2 else 1.0)
+    return out
+
+
+def test_toxicity_against_a_slow_score(spark):
+    """Whole texts: very long, repeated, quoted, misspelled, empty; equal rows have equal scores."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(200)]
+    bad = ["wretchling", "grubkin", "snotrag"]
+    spoil = lambda w: w[: (i := rng.randrange(len(w)))] + rng.choice(["", "x", w[i] * 2]) + w[i + 1 :]
+
+    def text(n, toxic):
+        out = rng.choices(words, k=n)
+        for _ in range(3 * toxic):
+            term = rng.choice(bad)
+            out.insert(rng.randrange(len(out)), rng.choice([term, spoil(term), f'"{term}', f'“{term}”', f"{term}!", f"so» {term}"]))
+            out.insert(rng.randrange(len(out)), rng.choice(['x"', "y”", '"z', "ok."]))
+        return " ".join(out)
+
+    rows = [(i, text(rng.randint(5, 60), i % 4 == 0), "en", "s", 0) for i in range(400)]
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(spark, docs, known)
+    assert model.terms and model.slope > 0
+    more = [(1000, text(60_000, True), "en", "s", 0), (1001, rows[4][1], "en", "s", 0), (1001, rows[4][1], "en", "s", 0), (1002, "", "en", "s", 0), (1003, "x" * 200_000, "en", "s", 0)]
+    got = toxicity.score(spark, docs.unionByName(spark.createDataFrame(more, SCHEMA)), known).collect()
+    assert len(got) == len(rows) + len(more)
+    for r in got:
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * math.log1p(slow_weight(r["text"], model))))))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 def brute_simhash(rows):
     import xxhash
 
@@ -284,8 +366,7 @@ def brute_simhash(rows):
 
 
 def test_simhash(spark, odd):
-    rows = [r for r in odd[1] if r[0] != 904]
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in CLASHES})
+    df, rows = odd
     got = sorted((tuple(r) for r in simhash.near_duplicates(spark, df).collect()), key=repr)
     assert got == brute_simhash(rows)
     kept = simhash.one_of_each(spark, df).collect()
@@ -293,6 +374,28 @@ def test_simhash(spark, odd):
     assert sorted(r["doc_id"] for r in kept) == sorted([*{g for _, _, g in got}, 3])
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_links_of_any_radius(spark, radius):
+    """The same components as all pairs within the radius give."""
+    rng = random.Random(6)
+    values = sorted({0, 1, 3, 7, 15, 1 << 63, 3 << 62} | {x for v in (rng.getrandbits(64) for _ in range(8)) for x in (v, *(v ^ (1 << rng.randrange(64)) for _ in range(3)), *(v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(3)))})
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    found = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp long"), radius).collect()}
+
+    def groups(pairs):
+        of = {signed(v): {signed(v)} for v in values}
+        for a, b in pairs:
+            of[a] |= of[b]
+            for x in of[a]:
+                of[x] = of[a]
+        return {frozenset(g) for g in of.values()}
+
+    near = [(signed(a), signed(b)) for a in values for b in values if a < b and (a ^ b).bit_count() <= radius]
+    assert found <= {p for a, b in near for p in ((a, b), (b, a))} and groups(found) == groups(near)
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
 def test_links_and_components(spark):
     rng = random.Random(4)
     values = sorted({rng.getrandbits(64) for _ in range(5)})
@@ -362,6 +465,52 @@ def test_fertility_rejects_symbols(spark):
     assert [r["kept"] for r in got] == [False, False, False, True, True]
 
 
+CLEAN = {
+    "english": "The committee met on Tuesday to discuss the new budget for schools and roads, and several members asked for more time to read it.",
+    "polish": "Komisja zebrała się we wtorek, aby omówić nowy budżet szkół i dróg, a kilku członków poprosiło o więcej czasu na jego przeczytanie i analizę.",
+    "vietnamese": "Hôm nay trời đẹp và chúng tôi đi chợ để mua hoa quả và rau, sau đó về nhà nấu bữa tối cho gia đình và cùng nhau ăn rất vui vẻ.",
+    "turkish": "Bugün hava güzel ve biz meyve ve sebze almak için pazara gidiyoruz, sonra eve dönüp ailemiz için akşam yemeği pişireceğiz ve birlikte yiyeceğiz.",
+    "russian": "Сегодня хорошая погода, и мы идём на рынок купить фрукты и овощи, потом вернёмся домой и приготовим ужин для семьи и друзей.",
+    "greek": "Σήμερα ο καιρός είναι καλός και πάμε στην αγορά να αγοράσουμε φρούτα και λαχανικά, μετά θα γυρίσουμε σπίτι και θα μαγειρέψουμε μαζί.",
+    "hebrew": "היום מזג האוויר יפה ואנחנו הולכים לשוק לקנות פירות וירקות ואחר כך נחזור הביתה ונבשל ארוחת ערב למשפחה שלנו ונאכל יחד בשמחה",
+    "hindi": "आज मौसम अच्छा है और हम फल और सब्जियाँ खरीदने के लिए बाज़ार जा रहे हैं फिर घर लौटकर परिवार के लिए खाना बनाएँगे",
+    "korean": "오늘은 날씨가 좋아서 우리는 과일과 채소를 사러 시장에 갔다가 집에 돌아와 가족을 위해 저녁을 요리했습니다 모두가 함께 맛있게 먹고 즐거운 시간을 보냈습니다",
+    "japanese": "今日は 天気が いいので 私たちは 市場へ 行って 果物と 野菜を 買い それから 家に 帰って 家族の ために 夕食を 作り みんなで 楽しく 食べました",
+    "chinese": "今天 天气 很好 我们 去 市场 买 水果 和 蔬菜 然后 回家 为 家人 做 晚饭 大家 一起 吃 非常 高兴 明天 再 去",
+    "armenian": "Այսօր եղանակը լավ է և մենք գնում ենք շուկա մրգեր և բանջարեղեն գնելու հետո կվերադառնանք տուն և ընթրիք կպատրաստենք մեր ընտանիքի համար",
+}
+#: Ranges of code points from which words are drawn at random.
+JUNK = {"latin": [(0xC0, 0x17F)], "cyrillic": [(0x400, 0x460)], "hangul": [(0xAC00, 0xD7A3)], "han": [(0x4E00, 0x9FFF)], "rare han": [(0x20000, 0x2A6DF)], "private": [(0xE000, 0xF000)], "mixed": [(0x10A0, 0x10FF), (0xB80, 0xBFF), (0xAC00, 0xD7A3), (0x400, 0x4FF)]}
+
+
+def test_fertility_by_script(spark):
+    """Ordinary text of twelve languages stays; random letters of one script or of several, hex and base64 go."""
+    import base64
+
+    rng = random.Random(1)
+    texts = [" ".join(t.split() + t.split()[::-1]) for t in CLEAN.values()] + [" ".join("".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(6)) for _ in range(60)) for ranges in JUNK.values()]
+    texts += [" ".join("%032x" % rng.getrandbits(128) for _ in range(60)), " ".join(base64.b64encode(rng.randbytes(24)).decode() for _ in range(60))]
+    got = fertility.rate(spark, spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    assert not any(r["base_failed"] for r in got)
+    assert [r["kept"] for r in got] == [True] * len(CLEAN) + [False] * (len(texts) - len(CLEAN))
+
+
+def test_fertility_equals_the_libraries():
+    """The measures of one text by plain calls of the tokenisers."""
+    import public_tokenizers
+    import sentencepiece
+
+    text = "Der Ausschuss traf sich, um über 日本 zu sprechen 𠮷 !!"
+    words = text.encode().split()
+    chars = len(text.replace(" ", ""))
+    tokens, per_token, bare, marks, _ = fertility.Fertility(fertility.vocabularies()).measure(words, chars)
+    bpe = byte_bpe.encoder(byte_bpe.vocabulary())
+    assert tokens == sum(len(bpe.plain(" " + w)) // 4 for w in text.split())
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = pieces.encode(text)
+    assert bare == sum(map(pieces.is_byte, ids)) / len(ids) > 0 and 0 < marks < 1 and 1 < per_token < 8
+
+
 class SlowTree:
     """Context-tree weighting by dictionaries, one sequence after the other."""
 
