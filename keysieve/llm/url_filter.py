@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import ascii_lower
+from keysieve.llm.common import ascii_lower, cut
 
 
 @dataclass(frozen=True)
@@ -72,6 +72,7 @@ def strength(groups: DataFrame, good: str = "good", n: str = "n") -> float:
 def reputations(judged: DataFrame, z: float = 1.0) -> DataFrame:
     """host, reputation (posterior mean) and bound for every host of judged (host, verdict or null)."""
     hosts = judged.groupBy("host").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") == "allow").alias("good")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = cut(hosts, "hosts")  # the pages are read once for all that follows
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -88,7 +89,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     """page_id, host, path, rule, verdict and bound for each row of pages.
 
     A url that is null or has no :// has an empty host and path, which no rule fits; the empty host has a reputation
-    like any other. Without any labelled page the overall share is one half. Repeated rows and ids give a row each;
+    like any other. A very long url is one row like others. Without any labelled page the overall share is one half. Repeated rows and ids give a row each;
     an empty table gives an empty result; columns other than page_id and url are ignored.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

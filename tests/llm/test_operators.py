@@ -237,6 +237,10 @@ def test_url_filter(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in url_filter.judge(pages).collect()}
     want = [("a.com", "/x", "com/"), ("example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/2", "www.example.com/en/"), ("b.example.com", "/en/", "example.com/en/"), ("x.net", "/es/1", "net/es/"), ("net", "/fr/", "net/fr/"), ("y.net", "/de/", None), ("", "", None), ("", "", None), ("", "", None), ("z.org", "", None), ("b:", "//c/d", None), ("notcom", "/", None), ("com", "", None), ("x.com", "", None), ("q.net", "/es", None)]
     assert got == dict(enumerate(want))
+    long = "http://" + "a." * 50_000 + "de/" + "x" * 200_000
+    more = pages.unionByName(spark.createDataFrame([(3, urls[3]), (3, urls[3]), (50, long), (None, urls[0])], "page_id long, url string").withColumns({"host": F.lit("?"), "rule": F.lit(1), "n": F.lit(2)}))
+    rows = url_filter.judge(more).collect()
+    assert len(rows) == len(urls) + 4 and sum(r["page_id"] == 3 for r in rows) == 3 and {len(r["host"]) for r in rows if r["page_id"] == 50} == {100_002}
     verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
     assert all(v in ("allow", "block") for v in verdicts.values()) and verdicts[6] == "block" and verdicts[0] == "allow"
 

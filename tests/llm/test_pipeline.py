@@ -21,6 +21,7 @@ def folder(spark, tmp_path_factory):
         rows.append((i, t, "en", f"s{rng.choice([0, 0, 0, 1, 2])}", len(t)))
         labels.append((i, 1, int(toxic)))
     rows += [(800, None, None, None, None), (801, "", "en", "s1", 0), (5, texts[5], "en", "s1", 3), (None, texts[13], "en", "s2", 3)]
+    rows += [(900, " ".join(f"w{i}" for i in range(30_000)) + "\n" + "y" * 150_000, "en", "s1", 1)]
     root = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
@@ -59,3 +60,14 @@ def test_stages(spark, folder):
     want = sorted(((i, len(e := library.encode(t, add_special_tokens=False).ids), digest(e), sha(t)) for i, t, *_ in mixed), key=repr)
     got = sorted(map(tuple, corpus_pipeline.run(spark, root).collect()), key=repr)
     assert got == want
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every stage of nothing is nothing, with its columns."""
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS and out.collect() == []
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
