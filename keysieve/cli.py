@@ -154,12 +154,12 @@ def run_ignore(args) -> int:
 
 def scanned(args):
     from keysieve.plans.scan import scan
-    from keysieve.sources.files import ignore_list
+    from keysieve.sources.files import ignore_list, roots_of
 
     spark = session()
     ignored = ignore_list(spark, args.ignore_file) if args.ignore_file else None
     rules = select(args.rules, args.skip_rules) if args.rules or args.skip_rules else None
-    return scan(spark, None if args.path and not args.agent else args.home, args.agent, args.path, rules, args.min_severity, ignored, args.since, args.env)
+    return scan(spark, None if args.path and not args.agent else args.home, args.agent, args.path, rules, args.min_severity, ignored, args.since, args.env, roots_of(os.environ))
 
 
 def run_scan(args) -> int:

@@ -28,19 +28,22 @@ def location(**columns: Column) -> Column:
     return F.struct(*(F.coalesce(columns.get(n, empty.get(n, F.lit(""))), empty.get(n, F.lit(""))).cast("int" if n == "line" else "string").alias(n) for n in names))
 
 
-def merge(hits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def merge(hits: DataFrame, rules: list[Rule] | None = None, locations: bool = True) -> DataFrame:
     """One finding for each fingerprint of hits (ord, rule_id, severity_rank, secret, location).
 
     The rule with the smallest ord names it; equal locations count once, ordered by timestamp (none last), file and line.
     Partial aggregation keeps one row for each fingerprint and location before the shuffle. rules: those the hits are of,
-    if there are custom ones among them.
+    if there are custom ones among them. Without locations nothing is gathered in a row: counts only, for secrets that
+    occur without bound.
     """
     spots = hits.groupBy(scalars.fingerprint(F.col("secret")).alias("fingerprint"), "location").agg(F.min(F.struct("ord", "rule_id", "severity_rank", "secret")).alias("rule"))
     order = F.struct(F.coalesce(F.nullif(F.col("location.timestamp"), F.lit("")), F.lit("~")).alias("t"), F.col("location.file").alias("f"), F.col("location.line").alias("l"), F.col("location"))
     named = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(f"location.{c}"), F.lit(""))))
+    listed = [F.transform(F.array_sort(F.collect_list(order)), lambda x: x["location"]).alias("locations")] if locations else []
     grouped = spots.groupBy("fingerprint").agg(
         F.min("rule").alias("rule"),
-        F.transform(F.array_sort(F.collect_list(order)), lambda x: x["location"]).alias("locations"),
+        F.count("*").alias("occurrences"),
+        *listed,
         named("agent").alias("agents"),
         named("origin").alias("origins"),
         F.count_distinct(F.nullif(F.col("location.session"), F.lit(""))).alias("sessions"),
@@ -49,7 +52,7 @@ def merge(hits: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     )
     own = [r for r in rules or () if r not in RULES]
     named_rules = rules_table(hits.sparkSession, [*RULES, env_rule(), *own]).select("rule_id", "rule_name", "provider", "rotate_url")
-    found = grouped.select("rule.rule_id", "rule.severity_rank", "rule.secret", "fingerprint", "agents", "origins", "sessions", F.size("locations").cast("long").alias("occurrences"), "first_seen", "last_seen", "locations")
+    found = grouped.select("rule.rule_id", "rule.severity_rank", "rule.secret", "fingerprint", "agents", "origins", "sessions", "occurrences", "first_seen", "last_seen", *(["locations"] if locations else []))
     return found.join(F.broadcast(named_rules), "rule_id", "left").withColumn("severity", scalars.severity_label(F.col("severity_rank"))).withColumn("masked", scalars.mask(F.col("secret")))
 
 

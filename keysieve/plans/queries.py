@@ -44,8 +44,8 @@ def planted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("location", place)
 
 
-def planted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.merge(planted_hits(spark, sf_dir))
+def planted_findings(spark: SparkSession, sf_dir: str, locations: bool = True) -> DataFrame:
+    return findings.merge(planted_hits(spark, sf_dir), locations=locations)
 
 
 IGNORED = "right(fingerprint, 1) IN ('0', '1', '2')"
@@ -243,30 +243,30 @@ def json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One finding for each secret."""
-    return planted_findings(spark, sf_dir).select("fingerprint", "rule_id", "severity_rank", "sessions", "occurrences", "first_seen", "last_seen", F.array_join("agents", ",").alias("agents"), F.array_join("origins", ",").alias("origins"))
+    return planted_findings(spark, sf_dir, False).select("fingerprint", "rule_id", "severity_rank", "sessions", "occurrences", "first_seen", "last_seen", F.array_join("agents", ",").alias("agents"), F.array_join("origins", ",").alias("origins"))
 
 
 @query(f"WITH {LOGS_SQL}, f AS (SELECT fingerprint, min(severity_rank) AS r FROM hits GROUP BY 1) SELECT s.r AS severity_rank, s.l AS severity, count(f.r) AS findings FROM (VALUES (1, 'low'), (2, 'medium'), (3, 'high'), (4, 'critical')) s(r, l) LEFT JOIN f ON f.r = s.r GROUP BY ALL")
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings for each severity, zeros included."""
-    return findings.by_severity(planted_findings(spark, sf_dir))
+    return findings.by_severity(planted_findings(spark, sf_dir, False))
 
 
 @query(f"WITH {LOGS_SQL} SELECT DISTINCT fingerprint, rule_id FROM hits WHERE NOT {IGNORED}")
 def ignore_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = planted_findings(spark, sf_dir)
+    found = planted_findings(spark, sf_dir, False)
     return findings.without_ignored(found, ignored(found)).select("fingerprint", "rule_id")
 
 
 @query(f"WITH {LOGS_SQL} SELECT count(DISTINCT fingerprint) AS ignored FROM hits WHERE {IGNORED}")
 def ignored_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = planted_findings(spark, sf_dir)
+    found = planted_findings(spark, sf_dir, False)
     return findings.ignored_count(found, ignored(found))
 
 
 @query(f"WITH {LOGS_SQL} SELECT DISTINCT fingerprint, severity_rank FROM hits WHERE severity_rank >= 4")
 def min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.at_least(planted_findings(spark, sf_dir), "critical").select("fingerprint", "severity_rank")
+    return findings.at_least(planted_findings(spark, sf_dir, False), "critical").select("fingerprint", "severity_rank")
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate > TIMESTAMP '1997-06-01'")
@@ -282,19 +282,19 @@ def since_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def findings_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty worst findings."""
-    top = findings.ordered(planted_findings(spark, sf_dir)).limit(20)
+    top = findings.ordered(planted_findings(spark, sf_dir, False)).limit(20)
     order = Window.orderBy(F.desc("severity_rank"), F.desc("sessions"), F.desc("occurrences"), "rule_id", "fingerprint")
     return top.select(F.row_number().over(order).cast("long").alias("place"), "fingerprint", "rule_id", "severity_rank", "sessions", "occurrences")
 
 
 @query(f"WITH {LOGS_SQL}, o AS (SELECT origin, count(DISTINCT fingerprint) AS findings FROM hits GROUP BY origin) SELECT origin, findings, round(findings / max(findings) OVER (), 6) AS share FROM o")
 def origin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.by_origin(planted_findings(spark, sf_dir)).select("origin", "findings", F.round("share", 6).alias("share"))
+    return findings.by_origin(planted_findings(spark, sf_dir, False)).select("origin", "findings", F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {LOGS_SQL}, f AS (SELECT fingerprint, min(timestamp)[1:10] AS day, count(*) AS n FROM hits GROUP BY 1) SELECT day, count(*) AS findings, sum(n)::BIGINT AS occurrences, round(5 + least(9.0, 2 * sqrt(sum(n))), 6) AS radius FROM f GROUP BY day")
 def timeline_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.timeline(planted_findings(spark, sf_dir)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "findings", "occurrences", F.round("radius", 6).alias("radius"))
+    return findings.timeline(planted_findings(spark, sf_dir, False)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "findings", "occurrences", F.round("radius", 6).alias("radius"))
 
 
 @query(f"WITH {LOGS_SQL} SELECT file, array_to_string(list_sort(list_distinct(list(fingerprint))), ',') AS fingerprints FROM hits GROUP BY file")
@@ -304,7 +304,7 @@ def scrub_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOGS_SQL}, f AS (SELECT fingerprint, min(severity_rank) AS r FROM hits GROUP BY 1) SELECT count(*) AS findings, count(*) FILTER (r = 1) AS low, count(*) FILTER (r = 2) AS medium, count(*) FILTER (r = 3) AS high, count(*) FILTER (r = 4) AS critical, 'critical' AS worst FROM f")
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.summary(planted_findings(spark, sf_dir))
+    return findings.summary(planted_findings(spark, sf_dir, False))
 
 
 @query(
@@ -520,4 +520,4 @@ def stream_new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by severity over the planted logs."""
-    return findings.by_severity(planted_findings(spark, sf_dir))
+    return findings.by_severity(planted_findings(spark, sf_dir, False))

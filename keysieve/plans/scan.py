@@ -70,14 +70,14 @@ def locate_hits(docs: DataFrame, rules: list[Rule] | None = None, values: dict[s
     return locate_records(chosen.join(sources.first_lines(docs), "file", "left"), rules, values)
 
 
-def scan(spark: SparkSession, home: str | None = None, agents: list[str] | None = None, paths: list[str] | None = None, rules: list[Rule] | None = None, min_severity: str = "low", ignored: DataFrame | None = None, since: str | None = None, env: list[str] | None = None) -> ScanResult:
-    """Everything under a home folder, or some paths; env: project folders whose .env values are looked for too."""
+def scan(spark: SparkSession, home: str | None = None, agents: list[str] | None = None, paths: list[str] | None = None, rules: list[Rule] | None = None, min_severity: str = "low", ignored: DataFrame | None = None, since: str | None = None, env: list[str] | None = None, roots: dict[str, list[str]] | None = None) -> ScanResult:
+    """Everything under a home folder, or some paths; env: project folders whose .env values are looked for too; roots: further folders of agents."""
     parts = [sources.read_binary(spark, p, since=since) for p in paths or ()]
     if home:
-        parts.append(sources.discover(spark, home, agents, since))
+        parts.append(sources.discover(spark, home, agents, since, None, roots))
     files = parts[0]
     for p in parts[1:]:
-        files = files.unionByName(p)
+        files = files.unionByName(p.join(files.select("file"), "file", "left_anti").select(*p.columns))
     values = {}
     for project in env or ():
         values |= {r["value"]: r["label"] for r in environment.values(environment.parse(sources.env_files(spark, project))).collect()}

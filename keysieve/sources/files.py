@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Mapping
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,6 +64,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Variables that move an agent's folder.
+FOLDER_VARIABLES = (("CLAUDE_CONFIG_DIR", "claude", ""), ("CODEX_HOME", "codex", ""), ("CODEX_SQLITE_HOME", "codex", ""), ("COPILOT_HOME", "copilot", ""), ("XDG_DATA_HOME", "opencode", "/opencode"))
+
+
+def roots_of(environment: Mapping[str, str]) -> dict[str, list[str]]:
+    """Further folders of agents that environment variables name."""
+    out: dict[str, list[str]] = {}
+    for name, agent, below in FOLDER_VARIABLES:
+        if environment.get(name):
+            out.setdefault(agent, []).append(environment[name].rstrip("/") + below)
+    return out
+
+
 def agents_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, i, a not in NOT_SCRUBBABLE, a not in NOT_WATCHED) for i, a in enumerate(AGENTS)], "agent string, rank int, scrubbable boolean, watched boolean")
 

@@ -232,6 +232,17 @@ def test_quiet_files_are_redacted(log):
     assert quiet.due() == [(str(path), "redacted", 3)] and quiet.due() == [] and f"use {a}".encode() not in path.read_bytes()
 
 
+def test_folders_that_variables_name(spark, tmp_path):
+    key = token(15)
+    path = tmp_path / "elsewhere/projects/p/s.jsonl"
+    path.parent.mkdir(parents=True)
+    path.write_text(prompt(key) + "\n")
+    roots = files.roots_of({"CLAUDE_CONFIG_DIR": str(tmp_path / "elsewhere") + "/", "XDG_DATA_HOME": "/x"})
+    assert roots == {"claude": [str(tmp_path / "elsewhere")], "opencode": ["/x/opencode"]}
+    result = scan.scan(spark, str(tmp_path / "home"), ["claude"], [str(path)], roots=roots)
+    assert result.files.count() == 1 and [r["secret"] for r in result.findings.collect()] == [key]
+
+
 def test_custom_rules(spark, tmp_path):
     made = custom_rule("acme-token", "ACME token", "ACME", r"(acme_[a-z0-9]{6})", keywords=("acme_",), accepts=lambda s: "1" in s)
     (tmp_path / "x.txt").write_text("acme_a1b2c3 acme_aaaaaa\n")

@@ -72,6 +72,9 @@ def test_sql_functions(spark):
     spark.createDataFrame([(1, f"a {npm} {npm}"), (2, None)], "id int, text string").createOrReplaceTempView("logs_to_scan")
     rows = spark.sql("SELECT id, s.* FROM logs_to_scan, LATERAL scan_text(text) s").collect()
     assert [(r["id"], r["rule_id"], r["masked"], r["start"]) for r in rows] == [(1, "npm-token", plain.mask(npm), 2)]
+    assert [tuple(r) for r in spark.sql("SELECT id, inline(find_secrets(text)) FROM logs_to_scan").collect()] == [tuple(r) for r in rows]
+    marker = f"[REDACTED:npm-token:{plain.fingerprint(npm)}]"
+    assert [r[0] for r in spark.sql("SELECT redact_secrets(text) FROM logs_to_scan ORDER BY id").collect()] == [f"a {marker} {marker}", None]
     assert spark.sql(f"SELECT mask_secret('{npm}'), secret_fingerprint('{npm}'), shannon_entropy('abab')").first()[:] == (plain.mask(npm), plain.fingerprint(npm), 1.0)
 
 
