@@ -234,12 +234,15 @@ def run_repo(args) -> int:
 
 def run_watch(args) -> int:
     """Reports what is new from now on: what is in the logs already is the baseline."""
+    from keysieve.sources.files import known_projects, roots_of
     from keysieve.streaming import watch
 
     spark = session()
-    before = [(r["fingerprint"],) for r in scanned(args).findings.select("fingerprint").toLocalIterator()]
+    now = scanned(args)
+    projects = [r["project"] for r in known_projects(now.files).toLocalIterator()]
+    before = [(r["fingerprint"],) for r in now.findings.select("fingerprint").toLocalIterator()]
     baseline = spark.createDataFrame(before, "fingerprint string")
-    logs = watch.agent_logs(spark, watch.places(args.home, args.agent))
+    logs = watch.agent_logs(spark, watch.places(args.home, args.agent, projects, roots_of(os.environ)))
     quiet = watch.Quiet(args.scrub_after) if args.scrub_after else None
 
     def report(df, _):

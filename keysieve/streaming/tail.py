@@ -1,4 +1,4 @@
-"""Agents' log files as a stream: what is appended to line files, and other files whenever they change.
+"""Agents' log files as a stream: what is appended to line files, and other files and databases whenever they change.
 
 The offset is a small table by file: what it was (inode, size, time), how far its lines are read, how many
 they are and the bytes before that place. It is made on the driver from stat calls and a read of what was
@@ -14,11 +14,13 @@ import time
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from keysieve.sources.sqlite import SqliteReader
+
 SCHEMA = "agent string, file string, kind string, part string, unit_no int, text string, first_line string"
 #: Bytes before the place read last that must not have changed, and largest range that one partition reads.
 TAIL, RANGE = 64, 64 << 20
-#: Seconds between searches for new files; searching the folders of projects takes longer.
-SEARCH_EVERY, SEARCH_PROJECTS_EVERY = 5.0, 60.0
+#: Seconds between searches for new files.
+SEARCH_EVERY = 5.0
 
 
 class Range(InputPartition):
@@ -26,9 +28,13 @@ class Range(InputPartition):
         self.agent, self.file, self.kind, self.start, self.end, self.line = agent, file, kind, start, end, line
 
 
+def is_database(path: str) -> bool:
+    return path.lower().endswith((".db", ".sqlite", ".sqlite3", ".vscdb"))
+
+
 def kind_of(path: str) -> str:
     low = path.lower()
-    return "jsonl" if low.endswith(".jsonl") or ".jsonl.superseded-" in low else "json" if low.endswith(".json") else "text"
+    return "database" if is_database(path) else "jsonl" if low.endswith(".jsonl") or ".jsonl.superseded-" in low else "json" if low.endswith(".json") else "text"
 
 
 def read_range(path: str, start: int, end: int) -> bytes:
@@ -137,6 +143,12 @@ class Tail(DataSourceStreamReader):
     def read(self, partition: Range):
         if not partition.file:
             return
+        if partition.kind == "database":
+            rows = SqliteReader({"path": partition.file})
+            for table in rows.partitions():
+                for file, name, number, text in rows.read(table):
+                    yield partition.agent, file, "jsonl", name, number, text, ""
+            return
         try:
             data = read_range(partition.file, partition.start, partition.end)
             first = b""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from keysieve.functions import scalars
 from keysieve.operators import detect
 from keysieve.sources.files import AGENTS, IN_PROJECTS, NOT_WATCHED
-from keysieve.streaming.tail import SEARCH_EVERY, AgentLogs
+from keysieve.streaming.tail import SEARCH_EVERY, AgentLogs, is_database
 
 
 def new_secrets(texts: DataFrame, text: str = "text", baseline: DataFrame | None = None, rules=None) -> DataFrame:
@@ -59,20 +59,18 @@ def new_secrets_once(spark: SparkSession, path: str, text: str = "text", baselin
     return spark.read.schema("fingerprint string, rule_id string, masked string").parquet(f"{root}/out")
 
 
-def places(home: str, agents: list[str] | None = None, projects: list[str] | None = None) -> dict[str, list[str]]:
-    """Patterns of the watched agents' files under a home folder and in projects; databases are left out, as they are read whole."""
+def places(home: str, agents: list[str] | None = None, projects: list[str] | None = None, roots: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """Patterns of the agents' files under a home folder, in further roots and in projects; of agents that copy their logs into databases, not these."""
     out = {}
     for agent in agents or AGENTS:
-        if agent in NOT_WATCHED and agents is None or agent == "config":
-            continue
         folders, patterns = AGENTS[agent]
-        roots = [f"{home.rstrip('/')}/{f}".rstrip("/") for f in folders] + ([*(projects or ())] if agent in IN_PROJECTS else [])
-        out[agent] = [f"{glob.escape(r)}/{p}" for r in roots for p in patterns if not p.endswith((".db", ".sqlite", ".vscdb"))]
+        under = [f"{home.rstrip('/')}/{f}".rstrip("/") for f in folders] + [*(roots or {}).get(agent, ())] + ([*(projects or ())] if agent in IN_PROJECTS else [])
+        out[agent] = [f"{glob.escape(r)}/{p}" for r in under for p in patterns if not (agent in NOT_WATCHED and is_database(p))]
     return out
 
 
 def agent_logs(spark: SparkSession, where: dict[str, list[str]], since: str = "latest", search_seconds: float = SEARCH_EVERY) -> DataFrame:
-    """The stream of what agents write: lines appended to line files, other files whenever they change."""
+    """The stream of what agents write: lines appended to line files, other files and databases whenever they change."""
     spark.dataSource.register(AgentLogs)
     return spark.readStream.format("agent_logs").options(places=json.dumps(where), search_seconds=str(search_seconds), **{"from": since}).load()
 

@@ -198,6 +198,21 @@ def test_appended_lines_are_read_once(tmp_path):
     assert moved(late, at)[0] == [(3, "c")]
 
 
+def test_databases_are_read_again_when_they_change(database):
+    path, key = database
+    reader = Tail({"places": json.dumps({"goose": [f"{path.parent}/*.db"]}), "search_seconds": "0"})
+    at = reader.initialOffset()
+    assert moved(reader, at)[0] == []
+    db = sqlite3.connect(path)
+    db.execute("INSERT INTO a VALUES ('four', 'more')")
+    db.commit()
+    db.close()
+    rows, _ = moved(reader, at)
+    assert len(rows) == 4 and sum(key in text for _, text in rows) == 2
+    found = watch.places("/h", None, ["/p"], {"claude": ["/c"]})
+    assert "/c/history.jsonl" in found["claude"] and "/p/.crush/crush.db" in found["crush"] and not any(p.endswith(".sqlite") for p in found["codex"])
+
+
 def test_watch_sees_what_is_appended(spark, tmp_path):
     old, new, other = token(10), token(11), token(12)
     home = tmp_path / "home"
