@@ -2,7 +2,8 @@
 
 The offset is a small table by file: what it was (inode, size, time), how far its lines are read, how many
 they are and the bytes before that place. It is made on the driver from stat calls and a read of what was
-appended's last line break; workers read the ranges. Files must be where driver and workers both see them.
+appended's last line break; workers read the ranges, many small ones in one task. Files must be where driver
+and workers both see them.
 """
 
 from __future__ import annotations
@@ -19,15 +20,38 @@ from keysieve.sources.sqlite import SqliteReader
 SCHEMA = "agent string, file string, kind string, part string, unit_no int, text string, first_line string"
 #: Bytes before the place read last that must not have changed, and largest range that one partition reads.
 TAIL, RANGE = 64, 64 << 20
+#: Bytes that opening a file counts as, and least bytes of a task that isn't the only one.
+OPENING, LEAST = 16 << 10, 1 << 20
 #: Seconds between searches for new files.
 SEARCH_EVERY = 5.0
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, agent: str, file: str, kind: str, start: int, end: int, line: int):
         self.agent, self.file, self.kind, self.start, self.end, self.line = agent, file, kind, start, end, line
 
 
+class Share(InputPartition):
+    """The ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def shared_out(ranges: list[Range], tasks: int) -> list[Share]:
+    """Every range in one share, in order: about as many shares as tasks, none over RANGE unless it is a single range."""
+    cost = [r.end - r.start + OPENING for r in ranges]
+    most = min(max(LEAST, -(-sum(cost) // tasks)), RANGE)
+    out, room = [], 0
+    for r, c in zip(ranges, cost):
+        if not out or c > room:
+            out.append(Share([]))
+            room = most
+        out[-1].ranges.append(r)
+        room -= c
+    return out or [Share([])]
+
+
 def is_database(path: str) -> bool:
     return path.lower().endswith((".db", ".sqlite", ".sqlite3", ".vscdb"))
 
@@ -72,6 +96,7 @@ class Tail(DataSourceStreamReader):
         self.places = json.loads(options["places"])
         self.primed = options.get("from", "latest") == "latest"
         self.every = float(options.get("search_seconds", SEARCH_EVERY))
+        self.tasks = int(options.get("tasks", 8))
         self.known: list[tuple[str, str]] = []
         self.searched = 0.0
         self.state: dict[str, dict] = {}
@@ -138,11 +163,13 @@ class Tail(DataSourceStreamReader):
                 out.append(Range(now["agent"], path, kind, at, cut, line))
                 line += breaks(path, at, cut) if cut < now["at"] else 0
                 at = cut
-        return out or [Range("", "", "", 0, 0, 0)]
+        return shared_out(out, self.tasks)
 
-    def read(self, partition: Range):
-        if not partition.file:
-            return
+    def read(self, partition: Share):
+        for part in partition.ranges:
+            yield from self.rows(part)
+
+    def rows(self, partition: Range):
         if partition.kind == "database":
             rows = SqliteReader({"path": partition.file})
             for table in rows.partitions():
@@ -171,7 +198,7 @@ class Tail(DataSourceStreamReader):
 
 
 class AgentLogs(DataSource):
-    """spark.readStream.format("agent_logs").option("places", JSON of agent to patterns).load(); from "latest" (what is there already is known) or "earliest"."""
+    """spark.readStream.format("agent_logs").option("places", JSON of agent to patterns).load(); from "latest" (what is there already is known) or "earliest"; tasks: about how many read a large batch."""
 
     @classmethod
     def name(cls) -> str:

@@ -15,7 +15,7 @@ from keysieve.operators.kernel import Detector
 from keysieve.plans import doctor, scan, scrub
 from keysieve.plans.rules import RULES, custom_rule
 from keysieve.sources import files
-from keysieve.streaming import watch
+from keysieve.streaming import tail, watch
 from keysieve.streaming.tail import Tail
 from maker import Maker
 
@@ -198,6 +198,26 @@ def test_appended_lines_are_read_once(tmp_path):
     assert moved(late, at)[0] == [(3, "c")]
 
 
+def test_small_files_share_tasks(tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"{i:03}.jsonl").write_text(f"{i}\n")
+    reader = Tail({"places": json.dumps({"claude": [f"{tmp_path}/*"]}), "search_seconds": "0", "from": "earliest", "tasks": "4"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    want = sorted(map(str, range(300)))
+    for least, few, many in ((None, 5, 1), (1, 5, 4)):
+        if least:
+            monkeypatch.setattr(tail, "LEAST", least)
+        tasks = reader.partitions(start, end)
+        assert many <= len(tasks) <= few
+        assert sorted(row[5] for p in tasks for row in reader.read(p)) == want
+    # What is large is still divided, and no share of several ranges is larger than one range may be.
+    monkeypatch.setattr(tail, "RANGE", 3 * tail.OPENING)
+    (tmp_path / "big.jsonl").write_text("x" * 99 + "\n" + ("y" * 99 + "\n") * 2000)
+    tasks = reader.partitions(start, reader.latestOffset())
+    assert all(len(p.ranges) == 1 or sum(r.end - r.start for r in p.ranges) <= tail.RANGE for p in tasks) and len(tasks) > 100
+    assert sum(1 for p in tasks for _ in reader.read(p)) == 2301
+
+
 def test_databases_are_read_again_when_they_change(database):
     path, key = database
     reader = Tail({"places": json.dumps({"goose": [f"{path.parent}/*.db"]}), "search_seconds": "0"})
