@@ -128,6 +128,28 @@ def test_pattern_spans(spark, tmp_path):
     assert got == [(i, n, m.start()) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(" the ", t or ""), 1)]
 
 
+def test_generic_secret_documents_take_the_form_of_their_sql(spark, tmp_path):
+    """Other assignments are none; names that end in a key word, text inside a key block and after a value that swallows the name are."""
+    import base64
+    import hashlib
+
+    import duckdb
+
+    from keysieve.operators.kernel import entropy
+    from keysieve.plans.queries import ORACLES, QUERIES
+
+    h = [x for x in (hashlib.sha1(str(i).encode()).hexdigest() for i in range(99)) if entropy(x) >= 3.7]
+    block = base64.b64encode(hashlib.sha512(b"x").digest() * 2).decode()
+    texts = ["password=25a0bc4376e17c8019", f"token={h[0]}", f"token: '{h[0]}'", f'monkey = "{h[1]}"', f'(Key = "{h[2]}"', f'key  = "{h[2]}"', f'SECRET = "{h[3].upper()}"', f'token = "{h[4]}0"', f'token = "{"01" * 20}"', None, ""]
+    texts += [f'a token = "{h[5]}" b token = "{h[5]}" PASSWORD = "{h[6]}"', f"token={'a1' * 10}token = \"{h[7]}\"", f'-----BEGIN PRIVATE KEY-----\n{block}\ntoken = "{h[8]}"\n-----END PRIVATE KEY-----', f'é😀secret = "{h[9]}"', f'tOken = "{h[10]}"', f'passwd = "{h[11]}"', f'aws_secret_access_key = "{h[12]}"']
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(ORACLES["generic_secret_documents"]).fetchall())
+    got = sorted(map(tuple, QUERIES["generic_secret_documents"](spark, str(tmp_path)).collect()))
+    assert got == want and {i for i, *_ in got} == {3, 4, 11, 12, 13, 14, 17} and len(got) == 9
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 def test_queries_equal_sql(spark):
     """Every query with SQL, on the smallest tables."""
